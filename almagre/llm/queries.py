@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagre.llm.consistent_form import comparison_key, not_consistent
+from almagre.llm.leak_index import leaked_spans
+from almagre.llm.packing import pack
 from almagre.session import table
 
 
@@ -38,5 +40,32 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms}
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each part of each text goes, for each kind of container."""
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins, tokens and share of the space used of each kind of container."""
+    bins = p8_packed(spark, sf_dir).groupBy("container_id", "capacity", "group_no", "bin_no").agg(F.sum("tokens").alias("tokens"))
+    return bins.groupBy("container_id", "capacity").agg(
+        F.count("*").alias("bins"), F.sum("tokens").alias("tokens"),
+        (F.sum("tokens") / F.sum("capacity")).alias("filled"), F.max("tokens").alias("fullest"),
+    )
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold twelve consecutive words of an evaluation item."""
+    return p9_spans(spark, sf_dir).select("item_id", "doc_id").distinct()
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans to be removed from documents, with the item each gives away."""
+    return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "evalitems"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_forms": p1_forms, "p8_packed": p8_packed, "p8_fill": p8_fill,
+    "p9_found": p9_found, "p9_spans": p9_spans,
+}
 SQL: dict[str, str] = {}
