@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from almagre.llm.consistent_form import comparison_key, not_consistent
 from almagre.llm.leak_index import leaked_spans
 from almagre.llm.packing import pack
+from almagre.llm.subjects import subjects_of
 from almagre.session import table
 
 
@@ -64,8 +65,21 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "evalitems"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of each document without a label of its own."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "doclabels")
+    found = subjects_of(documents, labels, table(spark, sf_dir, "subjects"))
+    return found.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus counted by subject: documents that are about it and sentences in them."""
+    found = subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doclabels"), table(spark, sf_dir, "subjects"))
+    return found.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms, "p8_packed": p8_packed, "p8_fill": p8_fill,
-    "p9_found": p9_found, "p9_spans": p9_spans,
+    "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_composition": p10_composition,
 }
 SQL: dict[str, str] = {}
