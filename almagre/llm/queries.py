@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almagre.llm.canonical_map import CHANNEL, PLACE, TYPE, mapped
 from almagre.llm.consistent_form import comparison_key, not_consistent
 from almagre.llm.leak_index import leaked_spans
 from almagre.llm.packing import pack
 from almagre.llm.subjects import subjects_of
-from almagre.session import table
+from almagre.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,36 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_FREE_FIELDS = (
+    ("elmuletazo", "channel", "channel", CHANNEL), ("elmuletazo", "type", "type", TYPE), ("vadetoros", "location", "place", PLACE),
+)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference entries meant by each free-typed value that isn't a label itself; 0 if none."""
+    refs, parts = table(spark, sf_dir, "refvalues"), []
+    for feed, col, kind, rules in _FREE_FIELDS:
+        entries = refs.where(F.col("kind") == kind)
+        rows = (
+            table(spark, sf_dir, feed).select("row_id", F.col(col).alias("value"))
+            .where("value is not null and value <> ''")
+            .join(entries.select(F.col("label").alias("value")), "value", "left_anti")
+        )
+        found = rows.join(cut(mapped(rows, entries, rules)), "value")
+        parts.append(found.select(F.lit(f"{feed}.{col}").alias("field"), "row_id", "ref_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that mean no reference entry, with their rows."""
+    refs, parts = table(spark, sf_dir, "refvalues"), []
+    for feed, col, kind, rules in _FREE_FIELDS:
+        values = table(spark, sf_dir, feed).where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n_rows"))
+        none = mapped(values, refs.where(F.col("kind") == kind), rules).where("ref_id = 0")
+        parts.append(values.join(none, "value").select(F.lit(f"{feed}.{col}").alias("field"), "value", "n_rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each part of each text goes, for each kind of container."""
     return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
@@ -79,7 +110,8 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_forms": p1_forms, "p8_packed": p8_packed, "p8_fill": p8_fill,
+    "p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched,
+    "p8_packed": p8_packed, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_composition": p10_composition,
 }
 SQL: dict[str, str] = {}
