@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almagre.llm.consistent_form import folded
+from almagre.session import cut
 
 # Function words, which carry no weight.
 STOP = frozenset("a al d de del e el en la las lo los o para por y".split())
@@ -62,44 +63,44 @@ def tokens_of(text: str) -> list[str]:
     return out
 
 
-def _segments(rules: Rules):
-    noise, separator = re.compile(rules.noise or r"(?!)"), re.compile(rules.separator or r"(?!)")
-
+def _segments(rules: dict[str, Rules]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = {k: (re.compile(r.noise or r"(?!)"), re.compile(r.separator or r"(?!)")) for k, r in rules.items()}
         for batch in batches:
             rows = []
-            for value in batch["value"]:
+            for kind, value in zip(batch["kind"], batch["value"], strict=True):
+                noise, separator = patterns[kind]
                 for seg, part in enumerate(separator.split(noise.sub(" ", bare(value)))):
                     words = tokens_of(part)
-                    rows += [(value, seg, [i], t, near_stop(t)) for i, t in enumerate(words)]
-                    rows += [(value, seg, [i, i + 1], a + b, False) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-            yield pd.DataFrame(rows, columns=["value", "seg", "at_value", "token", "light"])
+                    rows += [(kind, value, seg, [i], t, near_stop(t)) for i, t in enumerate(words)]
+                    rows += [(kind, value, seg, [i, i + 1], a + b, False) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+            yield pd.DataFrame(rows, columns=["kind", "value", "seg", "at_value", "token", "light"])
 
     return run
 
 
-def _forms(rules: Rules):
+def _forms(rules: dict[str, Rules]):
     """Each way an entry may be written, with its plain and run-together tokens and the positions they cover."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for ref, label, aka in zip(batch["ref_id"], batch["label"], batch["aka"], strict=True):
+            for kind, ref, label, aka in zip(batch["kind"], batch["ref_id"], batch["label"], batch["aka"], strict=True):
                 own, other = tokens_of(bare(label)), tokens_of(bare(aka)) if aka else []
                 town, _, rest = bare(label).partition("(")
                 forms = [own, other, own + other]
-                if rules.parts and rest:
+                if rules[kind].parts and rest:
                     forms += [tokens_of(town) + tokens_of(rest)[:1], tokens_of(town)]
                 for f, words in enumerate(forms):
                     if not words or words in forms[:f]:
                         continue
                     words = [w.rstrip(".") for w in words]
                     rows += [
-                        (ref, f, "".join(words[i : i + n]), list(range(i, i + n)), n == 1)
+                        (kind, ref, f, "".join(words[i : i + n]), list(range(i, i + n)), n == 1)
                         for n in (1, 2, 3)
                         for i in range(len(words) - n + 1)
                     ]
-            yield pd.DataFrame(rows, columns=["ref_id", "form", "token", "covers", "plain"])
+            yield pd.DataFrame(rows, columns=["kind", "ref_id", "form", "word", "covers", "plain"])
 
     return run
 
@@ -165,94 +166,110 @@ def _abbreviates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repaired_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """``(token, word, sim)``: the reference words each distinct token may stand for."""
+    """``(kind, token, word, sim)``: the reference words each distinct token may stand for; tokens and words are distinct per kind."""
     schema = "token string, word string, sim double"
-    # run-together words aren't abbreviated
-    words = words.groupBy(F.col("token").alias("word")).agg(F.max("plain").alias("plain"))
-    vowels = F.lower("token").rlike("[aeiou]")
-    short = tokens.where(F.col("token").endswith(".") | (~vowels & (F.length("token") <= 4)))
-    same = tokens.join(words, F.col("token") == F.col("word")).select("token", "word", F.lit(1.0).alias("sim"))
-    deleted = tokens.where(~F.col("token").endswith(".") & ~F.col("token").rlike("^[0-9]+$")).mapInPandas(_with_deletions, "token string, rest string")
-    kept = words.select(F.col("word").alias("token")).mapInPandas(_with_deletions, "token string, rest string")
+    short = tokens.where(F.col("token").endswith(".") | (~F.col("token").rlike("[aeiou]") & (F.length("token") <= 4)))
+    same = tokens.join(words.select("word").distinct(), F.col("token") == F.col("word")).select("token", "word", F.lit(1.0).alias("sim"))
+    long = tokens.where(~F.col("token").endswith(".") & ~F.col("token").rlike("^[0-9]+$")).select("token").distinct()
+    deleted = long.mapInPandas(_with_deletions, "token string, rest string")
+    kept = words.select(F.col("word").alias("token")).distinct().mapInPandas(_with_deletions, "token string, rest string")
     near = (
         deleted.join(kept.withColumnRenamed("token", "word"), "rest")
         .where(F.col("token") != F.col("word")).select("token", "word").distinct()
         .mapInPandas(_edits, schema)
     )
-    first = lambda c: F.substring(c, 1, 1)
+    # run-together words aren't abbreviated
     abbreviated = (
-        short.join(words.where("plain"), first("token") == first("word"))
+        short.select("token", F.substring("token", 1, 1).alias("c")).distinct()
+        .join(words.where("plain").select("word", F.substring("word", 1, 1).alias("c")).distinct(), "c")
         .select("token", "word").mapInPandas(_abbreviates, schema)
     )
     return same.unionByName(near).unionByName(abbreviated).groupBy("token", "word").agg(F.max("sim").alias("sim"))
 
 
-def mapped(values: DataFrame, refs: DataFrame, rules: Rules) -> DataFrame:
-    """``(value, ref_id)`` for each distinct value: the entries it means, or 0 if none.
+def _best_entries(rules: dict[str, Rules]):
+    """For a batch of values with all their hits: the best entry of each segment by soft TF-IDF."""
+
+    def run(hits: pd.DataFrame) -> pd.DataFrame:
+        key = ["kind", "value", "seg", "ref_id", "form"]
+        hits = hits.assign(sw=hits["sim"] * hits["w"], place=hits["at_value"].map(tuple))
+        # value side: a token that covers several words weighs as all of them, spread over its places
+        word = hits.groupby([*key, "place", "word"], sort=False).agg(sw=("sw", "sum"), w=("w", "sum"), light=("light", "first")).reset_index()
+        token = word.sort_values("sw").groupby([*key, "place"], sort=False).last().reset_index()
+        n = token["place"].map(len)
+        token = token.assign(sw=token["sw"] / n, w=token["w"] / n, known=~token["light"]).explode("place")
+        placed = token.sort_values("sw").groupby([*key, "place"], sort=False).last().reset_index()
+        value = placed.groupby(key, sort=False).agg(value_sim=("sw", "sum"), value_hit=("w", "sum"), known=("known", "sum"))
+        # entry side: each of its words counts once
+        entry = hits.groupby([*key, "at"], sort=False).agg(sw=("sw", "max"), w=("w", "max")).reset_index()
+        entry = entry.groupby(key, sort=False).agg(entry_sim=("sw", "sum"), entry_hit=("w", "sum"))
+        fixed = hits.groupby(key, sort=False).agg(entry_weight=("entry_weight", "first"), tokens=("tokens", "first"), rarest=("rarest", "first"))
+        s = value.join(entry).join(fixed).reset_index()
+        weight = s["value_hit"] + (s["tokens"] - s["known"]).clip(lower=0) * s["rarest"]
+        s["score"] = (s["value_sim"] / weight * s["entry_sim"] / s["entry_weight"]) ** 0.5
+        least = {c: s["kind"].map(lambda k, c=c: getattr(rules[k], c)) for c in ("least_score", "least_value", "least_entry")}
+        s = s[
+            (s["score"] >= least["least_score"])
+            & (s["value_hit"] >= least["least_value"] * weight - 1e-9)
+            & (s["entry_hit"] >= least["least_entry"] * s["entry_weight"] - 1e-9)
+        ]
+        s = s.groupby(["kind", "value", "seg", "ref_id"], sort=False)["score"].max().reset_index().sort_values(["score", "ref_id"], ascending=[False, True])
+        best = s.groupby(["kind", "value", "seg"], sort=False)["score"].nlargest(2).groupby(["kind", "value", "seg"], sort=False).agg(["max", "min", "size"]).reset_index() if len(s) else s
+        if not len(s):
+            return pd.DataFrame({"kind": [], "value": [], "ref_id": []})
+        clear = best[(best["size"] == 1) | (best["max"] - best["min"] > 1e-6)]
+        top = s.drop_duplicates(["kind", "value", "seg"]).merge(clear[["kind", "value", "seg"]])
+        return top[["kind", "value", "ref_id"]].drop_duplicates()
+
+    return run
+
+
+#: Distinct values scored together in one call.
+VALUES_PER_GROUP = 2000
+
 
-    ``values`` has a column value, ``refs`` ref_id, label and aka. Null values are left out, empty ones mean
+def mapped(values: DataFrame, refs: DataFrame, rules: dict[str, Rules]) -> DataFrame:
+    """``(kind, value, ref_id)`` for each distinct value of a kind: the entries it means, or 0 if none.
+
+    ``values`` has columns kind and value, ``refs`` kind, ref_id, label and aka. Null values are left out, empty ones mean
     none. Of two entries that fit equally well none is meant. With an empty list all values mean none.
     """
-    distinct = values.select("value").where("value is not null").distinct()
-    typed = distinct.mapInPandas(_segments(rules), "value string, seg int, at_value array<int>, token string, light boolean")
-    forms = refs.where("label is not null").select("ref_id", "label", "aka").mapInPandas(
-        _forms(rules), "ref_id bigint, form int, token string, covers array<int>, plain boolean"
-    )
+    kinds = list(rules)
+    distinct = cut(values.select("kind", "value").where(F.col("value").isNotNull() & F.col("kind").isin(kinds)).distinct())
+    typed = cut(distinct.mapInPandas(_segments(rules), "kind string, value string, seg int, at_value array<int>, token string, light boolean"))
+    refs = refs.where(F.col("label").isNotNull() & F.col("kind").isin(kinds)).select("kind", "ref_id", "label", "aka")
+    forms = cut(refs.mapInPandas(_forms(rules), "kind string, ref_id bigint, form int, word string, covers array<int>, plain boolean"))
     # weights: inverse frequency of a word over the entries; an unknown token weighs as much as the rarest word
-    plain = forms.where("plain").select("ref_id", "form", F.col("token").alias("word"), F.explode("covers").alias("at"))
-    entries = refs.agg(F.count("*").alias("entries"))
-    frequency = plain.groupBy("word").agg(F.countDistinct("ref_id").alias("df"))
-    weighted = plain.join(frequency, "word").join(entries, F.lit(True)).select(
-        "ref_id", "form", "at", F.pow(F.log1p(F.col("entries") / F.col("df")), 2).alias("w")
-    )
-    whole = weighted.groupBy("ref_id", "form").agg(F.sum("w").alias("entry_weight"))
-    sims = repaired_tokens(typed.select("token").distinct(), forms.select("token", "plain"))
-    hits = (
-        typed.join(sims, "token")
-        .join(forms.select("ref_id", "form", F.col("token").alias("word"), F.explode("covers").alias("at")), "word")
-        .join(weighted, ["ref_id", "form", "at"])
-    )
-    key = ["value", "seg", "ref_id", "form"]
-    # a token that covers several words weighs as all of them
-    by_word = hits.groupBy(*key, "at_value", "word").agg(F.max("sim").alias("sim"), F.sum("w").alias("w"), F.first("light").alias("light"))
-    by_token = by_word.groupBy(*key, "at_value").agg(
-        F.max(F.struct(F.col("sim") * F.col("w"), F.col("w"), "light")).alias("m"), F.size("at_value").alias("n")
-    )
-    # of two tokens run together and their parts, the first place counts what serves it best
-    placed = by_token.withColumn("place", F.explode("at_value")).groupBy(*key, "place").agg(
-        F.max(F.struct(F.col("m.col1") / F.col("n"), F.col("m.w") / F.col("n"), ~F.col("m.light"))).alias("m")
+    plain = forms.where("plain").select("kind", "ref_id", "form", "word", F.explode("covers").alias("at"))
+    entries = refs.groupBy("kind").agg(F.count("*").alias("entries"))
+    frequency = plain.groupBy("kind", "word").agg(F.countDistinct("ref_id").alias("df")).join(entries, "kind")
+    log2 = lambda x: F.pow(F.log1p(x), 2)
+    weighted = plain.join(frequency, ["kind", "word"]).select(
+        "kind", "ref_id", "form", "at", log2(F.col("entries") / F.col("df")).alias("w"), log2(F.col("entries").cast("double")).alias("rarest"),
     )
-    of_value = placed.groupBy(*key).agg(
-        F.sum("m.col1").alias("value_sim"), F.sum("m.col2").alias("value_hit"), F.sum(F.col("m.col3").cast("int")).alias("known")
-    )
-    by_place = hits.groupBy(*key, "at").agg(F.max(F.col("sim") * F.col("w")).alias("s"), F.max("w").alias("w"))
-    of_entry = by_place.groupBy(*key).agg(F.sum("s").alias("entry_sim"), F.sum("w").alias("entry_hit"))
-    rarest = F.pow(F.log1p(F.col("entries").cast("double")), 2)
-    size = typed.where(F.size("at_value") == 1).groupBy("value", "seg").agg(F.sum((~F.col("light")).cast("int")).alias("tokens"))
-    scored = (
-        of_value.join(of_entry, key).join(whole, ["ref_id", "form"]).join(size, ["value", "seg"]).join(entries, F.lit(True))
-        .withColumn("unknown", F.greatest(F.lit(0), F.col("tokens") - F.col("known")) * rarest)
-        .withColumn("value_weight", F.col("value_hit") + F.col("unknown"))
-        .withColumn("score", F.sqrt(F.col("value_sim") / F.col("value_weight") * F.col("entry_sim") / F.col("entry_weight")))
-        .where((F.col("score") >= rules.least_score) & (F.col("value_hit") >= rules.least_value * F.col("value_weight") - 1e-9)
-               & (F.col("entry_hit") >= rules.least_entry * F.col("entry_weight") - 1e-9))
-        .groupBy("value", "seg", "ref_id").agg(F.max("score").alias("score"))
+    weighted = weighted.withColumn("entry_weight", F.sum("w").over(Window.partitionBy("kind", "ref_id", "form")))
+    index = cut(
+        forms.select("kind", "ref_id", "form", "word", F.explode("covers").alias("at"))
+        .join(weighted, ["kind", "ref_id", "form", "at"])
     )
-    per_segment = Window.partitionBy("value", "seg").orderBy(F.desc("score"), "ref_id")
-    best = (
-        scored.withColumn("n", F.row_number().over(per_segment))
-        .withColumn("next", F.coalesce(F.lead("score").over(per_segment), F.lit(0.0)))
-        .where((F.col("n") == 1) & (F.col("score") - F.col("next") > 1e-6))
-        .select("value", "ref_id").distinct()
+    sims = cut(repaired_tokens(typed.select("token").distinct(), forms.select("word", "plain")))
+    size = typed.where(F.size("at_value") == 1).groupBy("kind", "value", "seg").agg(F.sum((~F.col("light")).cast("int")).alias("tokens"))
+    groups = max(1, -(-distinct.count() // VALUES_PER_GROUP))
+    hits = (
+        typed.join(sims, "token").join(index, ["kind", "word"]).join(size, ["kind", "value", "seg"])
+        .withColumn("group_no", F.pmod(F.xxhash64("value"), F.lit(groups)))
     )
-    none = distinct.join(best, "value", "left_anti").select("value", F.lit(0).cast("bigint").alias("ref_id"))
+    best = cut(hits.groupBy("group_no").applyInPandas(_best_entries(rules), "kind string, value string, ref_id bigint"))
+    none = distinct.join(best, ["kind", "value"], "left_anti").select("kind", "value", F.lit(0).cast("bigint").alias("ref_id"))
     return best.unionByName(none)
 
 
-# How this project's three free-typed fields are read.
-CHANNEL = Rules(separator=r"\s*[/+&;]\s*|\s+y\s+")
-TYPE = Rules()
-PLACE = Rules(
-    noise=r"^\s*(?:plaza de toros de|toros desde|desde|en)\s+|(?:^|\s)feria\s+de.*$",
-    parts=True, least_score=0.5, least_value=1.0, least_entry=1.0,
-)
+# How this project's three free-typed fields are read, by the kind of their reference list.
+RULES = {
+    "channel": Rules(separator=r"\s*[/+&;]\s*|\s+y\s+"),
+    "type": Rules(),
+    "place": Rules(
+        noise=r"^\s*(?:plaza de toros de|toros desde|desde|en)\s+|(?:^|\s)feria\s+de.*$",
+        parts=True, least_score=0.5, least_value=1.0, least_entry=1.0,
+    ),
+}

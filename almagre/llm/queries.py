@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagre.llm.canonical_map import CHANNEL, PLACE, TYPE, mapped
-from almagre.llm.consistent_form import comparison_key, not_consistent
+from almagre.llm.canonical_map import RULES, mapped
+from almagre.llm.consistent_form import comparison_key, consistent_column, not_consistent
 from almagre.llm.leak_index import leaked_spans
+from almagre.llm.name_variants import entities, variant_pairs
+from almagre.llm.names import breeder, names_channel, person, plain, usable
 from almagre.llm.packing import pack
+from almagre.llm.survivors import survivors
 from almagre.llm.subjects import subjects_of
-from almagre.session import cut, table
+from almagre.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,34 +47,116 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_FREE_FIELDS = (
-    ("elmuletazo", "channel", "channel", CHANNEL), ("elmuletazo", "type", "type", TYPE), ("vadetoros", "location", "place", PLACE),
-)
+# The free-typed fields and the kind of their reference list.
+_FREE_FIELDS = (("elmuletazo", "channel", "channel"), ("elmuletazo", "type", "type"), ("vadetoros", "location", "place"))
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(field, kind, row_id, value)`` of the free-typed values that aren't labels themselves."""
+    labels = table(spark, sf_dir, "refvalues").select("kind", F.col("label").alias("value"))
+    parts = [
+        table(spark, sf_dir, feed).select(
+            F.lit(f"{feed}.{col}").alias("field"), F.lit(kind).alias("kind"), "row_id", F.col(col).alias("value")
+        )
+        for feed, col, kind in _FREE_FIELDS
+    ]
+    rows = reduce(DataFrame.unionByName, parts).where("value is not null and value <> ''")
+    return rows.join(labels, ["kind", "value"], "left_anti")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference entries meant by each free-typed value that isn't a label itself; 0 if none."""
-    refs, parts = table(spark, sf_dir, "refvalues"), []
-    for feed, col, kind, rules in _FREE_FIELDS:
-        entries = refs.where(F.col("kind") == kind)
-        rows = (
-            table(spark, sf_dir, feed).select("row_id", F.col(col).alias("value"))
-            .where("value is not null and value <> ''")
-            .join(entries.select(F.col("label").alias("value")), "value", "left_anti")
-        )
-        found = rows.join(cut(mapped(rows, entries, rules)), "value")
-        parts.append(found.select(F.lit(f"{feed}.{col}").alias("field"), "row_id", "ref_id"))
-    return reduce(DataFrame.unionByName, parts)
+    rows = _typed(spark, sf_dir)
+    found = mapped(rows, table(spark, sf_dir, "refvalues"), RULES)
+    return rows.join(found, ["kind", "value"]).select("field", "row_id", "ref_id")
 
 
 def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values that mean no reference entry, with their rows."""
-    refs, parts = table(spark, sf_dir, "refvalues"), []
-    for feed, col, kind, rules in _FREE_FIELDS:
-        values = table(spark, sf_dir, feed).where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n_rows"))
-        none = mapped(values, refs.where(F.col("kind") == kind), rules).where("ref_id = 0")
-        parts.append(values.join(none, "value").select(F.lit(f"{feed}.{col}").alias("field"), "value", "n_rows"))
-    return reduce(DataFrame.unionByName, parts)
+    rows = _typed(spark, sf_dir)
+    none = mapped(rows, table(spark, sf_dir, "refvalues"), RULES).where("ref_id = 0")
+    counts = rows.groupBy("field", "kind", "value").agg(F.count("*").alias("n_rows"))
+    return counts.join(none, ["kind", "value"]).select("field", "value", "n_rows")
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable values of the duplicate groups' members: ``(group_id, field, source, value, names, at, feed, row_id)``."""
+    groups, parts = table(spark, sf_dir, "dupgroups").select("group_id", "feed", "row_id").distinct(), []
+    for feed in ("vadetoros", "elmuletazo", "lasventas", "canalextremadura"):
+        df = table(spark, sf_dir, feed)
+        at = "updatedAt" if feed == "canalextremadura" else "fetchedAt"
+        title = F.col("title") if feed == "canalextremadura" else F.lit(None).cast("string")
+        rows = df.select("row_id", F.lit(feed).alias("feed"), F.col(at).alias("at"), "breeding", "participants", "channel", title.alias("title"))
+        parts.append(rows.join(groups.where(F.col("feed") == feed).drop("feed"), "row_id"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                own = (r.group_id, r.feed, r.row_id, r.at)
+                breeders = [b.strip() for b in r.breeding.split(" / ")] if r.breeding else []
+                if breeders and all(usable(b) and breeder(b) for b in breeders):
+                    rows.append((*own, "breeding", " / ".join(plain(b) for b in breeders), len({plain(b) for b in breeders})))
+                people = list(r.participants) if r.participants is not None else []
+                if people and all(usable(p) and person(p) for p in people):
+                    rows.append((*own, "participants", " / ".join(sorted(plain(p) for p in people)), len({plain(p) for p in people})))
+                if names_channel(r.channel):
+                    rows.append((*own, "channel", plain(r.channel), 1))
+                if usable(r.title):
+                    rows.append((*own, "title", plain(r.title), 1))
+            yield pd.DataFrame(rows, columns=["group_id", "feed", "row_id", "at", "field", "value", "names"])
+
+    schema = "group_id bigint, feed string, row_id bigint, at timestamp_ntz, field string, value string, names int"
+    return reduce(DataFrame.unionByName, parts).mapInPandas(run, schema).withColumn("source", F.col("feed"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member whose value survives, for each group and field: most names, then latest, then best supported."""
+    best = survivors(_claims(spark, sf_dir), [F.col("names"), F.col("at")], ["feed", "row_id"])
+    return best.select("group_id", "field", "feed", "row_id")
+
+
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per group: each field's surviving value with its support."""
+    best = survivors(_claims(spark, sf_dir), [F.col("names"), F.col("at")], ["feed", "row_id"])
+    fields = ("breeding", "participants", "channel", "title")
+    return best.groupBy("group_id").agg(
+        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields],
+        *[F.max(F.when(F.col("field") == f, F.col("support"))).alias(f"{f}_support") for f in fields],
+    )
+
+
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(spelling, n)``: distinct names in consistent form of the three fields, without places and kinds of events."""
+    people = [
+        table(spark, sf_dir, feed).select(F.explode("participants").alias("raw")) for feed in ("elmuletazo", "onetoro")
+    ]
+    breeders = table(spark, sf_dir, "vadetoros").select(F.col("breeding").alias("raw"))
+    raw = reduce(DataFrame.unionByName, [*people, breeders]).where("raw is not null").groupBy("raw").agg(F.count("*").alias("n"))
+    names = (
+        raw.select(F.explode(F.split(consistent_column(F.col("raw")), " / ")).alias("spelling"), "n")
+        .groupBy("spelling").agg(F.sum("n").alias("n"))
+    )
+    # places are written "Town (Province)" or "Town, Province"; a lone value may be anything
+    town = r"^([^(,]+?)\s*[(,]"
+    places = [table(spark, sf_dir, feed).select(F.regexp_extract("location", town, 1).alias("value")).distinct() for feed in ("vadetoros", "elmuletazo")]
+    labels = table(spark, sf_dir, "refvalues").select(F.explode(F.array("label", F.regexp_extract("label", town, 1))).alias("value"))
+    other = (
+        reduce(DataFrame.unionByName, [*places, labels]).where("value is not null and value <> ''")
+        .select(comparison_key(F.col("value")).alias("key")).distinct()
+    )
+    return names.withColumn("key", comparison_key(F.col("spelling"))).join(other, "key", "left_anti").drop("key")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different spellings of the same bullfighter or breeder."""
+    return variant_pairs(_spellings(spark, sf_dir))
+
+
+def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with its entity and the entity's number of spellings."""
+    found = entities(_spellings(spark, sf_dir))
+    return found.join(found.groupBy("entity").agg(F.count("*").alias("spellings")), "entity")
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +198,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched,
+    "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_entities": p6_entities,
     "p8_packed": p8_packed, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_composition": p10_composition,
 }
