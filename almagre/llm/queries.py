@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from almagre.llm.canonical_map import RULES, mapped
 from almagre.llm.consistent_form import comparison_key, consistent_column, not_consistent
+from almagre.llm.entity_match import matches
 from almagre.llm.leak_index import leaked_spans
 from almagre.llm.name_variants import entities, variant_pairs
 from almagre.llm.names import breeder, names_channel, person, plain, usable
 from almagre.llm.packing import pack
 from almagre.llm.survivors import survivors
 from almagre.llm.subjects import subjects_of
+from almagre.operators.snapshot_diff import hour_and_minute
 from almagre.session import table
 
 
@@ -79,6 +81,43 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(none, ["kind", "value"]).select("field", "value", "n_rows")
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The festejos of three feeds in one form; of several deliveries of an id, each field's latest that says something."""
+    va, el, on = (table(spark, sf_dir, t) for t in ("vadetoros", "elmuletazo", "onetoro"))
+    order = lambda there: F.struct(there, F.col("fetchedAt"), F.col("loaded_at"), F.col("row_id"))
+    said = ~F.lower(F.coalesce("location", F.lit(""))).rlike(r"por (confirmar|determinar|anunciar|designar)|sin anunciar|^\s*$")
+    some = F.coalesce(F.size("participants"), F.lit(0)) > 0
+    text = lambda c: F.coalesce(F.length(c), F.lit(0)) > 1
+    day = F.datediff(F.try_to_date("date", "yyyy-MM-dd"), F.lit("2000-01-01").cast("date"))
+    one = va.where("id is not null").groupBy("id").agg(
+        F.collect_set(day).alias("days"), F.max_by("time", order(text("time"))).alias("time"),
+        F.max_by("location", order(said)).alias("location"), F.max_by("participants", order(some)).alias("participants"),
+        F.max_by("breeding", order(text("breeding"))).alias("breeding"),
+    )
+    two = on.where("id is not null").groupBy("id").agg(
+        F.collect_set(day).alias("days"), F.max_by("name", order(text("name"))).alias("title"),
+        F.max_by("participants", order(some)).alias("participants"),
+    )
+    none = F.lit(None).cast("string")
+    time = hour_and_minute(F.col("time")).alias("time")
+    parts = [
+        one.select(F.concat(F.lit("vadetoros:"), "id").alias("rec"), F.lit("vadetoros").alias("feed"), "days", time, "location", none.alias("title"), "participants", "breeding"),
+        el.select(F.concat(F.lit("elmuletazo:"), F.col("row_id").cast("string")).alias("rec"), F.lit("elmuletazo").alias("feed"), F.array_compact(F.array(day)).alias("days"), time, "location", none.alias("title"), "participants", "breeding"),
+        two.select(F.concat(F.lit("onetoro:"), "id").alias("rec"), F.lit("onetoro").alias("feed"), "days", F.lit("").alias("time"), none.alias("location"), "title", "participants", none.alias("breeding")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of different feeds that are the same festejo, each with its score and confidence."""
+    return matches(_records(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of different feeds that are the same festejo."""
+    return p4_matches(spark, sf_dir).select("rec_a", "rec_b").distinct()
+
+
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable values of the duplicate groups' members: ``(group_id, field, source, value, names, at, feed, row_id)``."""
     groups, parts = table(spark, sf_dir, "dupgroups").select("group_id", "feed", "row_id").distinct(), []
@@ -198,7 +237,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched,
-    "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_entities": p6_entities,
+    "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_entities": p6_entities,
     "p8_packed": p8_packed, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_composition": p10_composition,
 }
