@@ -12,9 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from almagre.operators.dedupe import keep_last
 
 
-def deliveries(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stream of the parquet files that arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def deliveries(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1, only: str = "*") -> DataFrame:
+    """A stream of the parquet files that arrive in a folder, by their names' pattern."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.option("pathGlobFilter", only).parquet(path)
 
 
 def fold_latest(stream: DataFrame, key: list[str], version: str, path: str, checkpoint: str):
