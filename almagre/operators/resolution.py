@@ -71,21 +71,22 @@ def best_matches(left: DataFrame, right: DataFrame, s: Scoring = Scoring()) -> D
     return pairs.groupBy("a_rec").agg(best).select("a_rec", "r.b_rec", "r.score")
 
 
-def first_match_clusters(records: DataFrame, least_people: float, block: list[str]) -> DataFrame:
+def first_match_clusters(records: DataFrame, least_people: float, block: list[str], buckets: int = 512) -> DataFrame:
     """``(rec, cluster)``: an ordered fold in each block; a record joins the first cluster whose people it shares enough, else begins one.
 
     A cluster's people grow with its members, so the outcome depends on the order (seq). Records with equal people are folded
-    once, so copies of a record don't swell a block. Without people a record joins the block's first cluster without people.
+    once, so copies of a record don't swell a block; ``buckets`` is the number of calls the blocks are dealt to. Without people a record joins the block's first cluster without people.
     """
     people = F.array_sort(F.array_distinct(F.coalesce("participants", F.array().cast("array<string>"))))
     keyed = records.withColumn("people_", people)
     heads = keyed.groupBy(*block, "people_").agg(F.min_by("rec", "seq").alias("head"), F.min("seq").alias("seq"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[tuple[str, set]] = []
-        index: dict[str, list[int]] = {}
+        state: dict[tuple, tuple[list, dict]] = {}
         out = []
         for r in pdf.sort_values("seq").itertuples(index=False):
+            key = tuple(getattr(r, c) for c in block)
+            clusters, index = state.setdefault(key, ([], {}))
             own = set(r.people_)
             near = sorted({i for p in own for i in index.get(p, [])}) if own else [i for i, c in enumerate(clusters) if not c[1]][:1]
             for i in near:
@@ -98,12 +99,13 @@ def first_match_clusters(records: DataFrame, least_people: float, block: list[st
             for p in own - clusters[i][1]:
                 index.setdefault(p, []).append(i)
             clusters[i][1].update(own)
-            out.append((*[getattr(r, c) for c in block], r.people_, clusters[i][0]))
-        return pd.DataFrame(out, columns=[*block, "people_", "cluster"])
+            out.append((r.h_, clusters[i][0]))
+        return pd.DataFrame(out, columns=["h_", "cluster"])
 
-    kinds = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in block)
-    folded = heads.groupBy(*block).applyInPandas(fold, f"{kinds}, people_ array<string>, cluster string")
-    return keyed.join(folded, [*block, "people_"]).select("rec", "cluster")
+    # many small blocks are folded in one call; a block is never split
+    heads = heads.withColumn("h_", F.xxhash64(*block, "people_")).withColumn("bucket_", F.pmod(F.xxhash64(*block), F.lit(buckets)))
+    folded = heads.groupBy("bucket_").applyInPandas(fold, "h_ bigint, cluster string")
+    return keyed.withColumn("h_", F.xxhash64(*block, "people_")).join(folded, "h_").select("rec", "cluster")
 
 
 def survivors(records: DataFrame, cluster: str, score: Column, fields: list[str]) -> DataFrame:
