@@ -162,6 +162,6 @@ def same_head(short: str, full: str) -> int:
     if full in _familiar.get(short, ()):
         return 1
     rest = iter(full)
-    if len(short) < len(full) and short[0] == full[0] and (full.startswith(short) or (len(short) <= 4 and all(c in rest for c in short) and full[-1] == short[-1])):
+    if len(short) < len(full) and short[0] == full[0] and (full.startswith(short) or (len(short) <= min(4, len(full) - 2) and all(c in rest for c in short) and full[-1] == short[-1])):
         return 1
     return 2 if similar(short, full) else 9
