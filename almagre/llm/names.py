@@ -164,4 +164,5 @@ def same_head(short: str, full: str) -> int:
     rest = iter(full)
     if len(short) < len(full) and short[0] == full[0] and (full.startswith(short) or (len(short) <= min(4, len(full) - 2) and all(c in rest for c in short) and full[-1] == short[-1])):
         return 1
-    return 2 if similar(short, full) else 9
+    close = max(len(short), len(full)) == 4 and min(len(short), len(full)) >= 3 and lost(short, full) <= 1
+    return 2 if close or similar(short, full) else 9
