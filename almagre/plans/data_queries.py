@@ -57,4 +57,28 @@ b as (select step.feed, step.s, id, x from step join rows on rows.feed = step.fe
 select coalesce(a.feed, b.feed) feed, coalesce(a.id, b.id) id, strftime(coalesce(a.s, b.s), '%Y-%m-%d %H:%M:%S') snapshot,
   case when b.id is null then 'added' when a.id is null then 'removed' else 'changed' end change
 from a full join b on a.feed = b.feed and a.s = b.s and a.id = b.id where a.id is null or b.id is null or a.x <> b.x""",
+    "p7_found": r"""
+with raw as (select feed, file_no, payload::json as j from rawrecords where json_valid(payload) and json_type(payload::json) = 'OBJECT'),
+f as (select feed, file_no, json_extract_string(j, '$.id') as id, k as field, json_extract(j, '$."' || k || '"') as v from (select *, unnest(json_keys(j)) as k from raw)),
+v as (select feed, file_no, id, field, v, case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null else 'number' end as t,
+  case when json_type(v) = 'VARCHAR' then json_extract_string(v, '$') else v::varchar end as content from f),
+files as (select *, row_number() over (partition by feed order by file_no) as ord, count(*) over (partition by feed) as files from (select distinct feed, file_no from rawrecords)),
+n as (select feed, file_no, field, t, count(*) as c from v group by all),
+own as (select feed, file_no, field, first(t order by c desc, case t when 'string' then 1 when 'number' then 2 when 'boolean' then 3 when 'array' then 4 else 5 end) filter (t is not null) as own from n group by all),
+cat as (select o.*, ord, files, ord - row_number() over (partition by o.feed, field order by ord) as island from own o join files using (feed, file_no)),
+isl as (select feed, field, island, min(ord) as a, max(ord) as b, max(files) as files from cat group by all),
+s as (select feed, field, a as ord from isl where a > 1), e as (select feed, field, b + 1 as ord from isl where b < files),
+vo as (select distinct feed, ord, id, field, content from v join files using (feed, file_no) where t is not null and id is not null),
+cand as (select e.feed, e.ord, e.field, s.field as new_field, count(distinct x.id) as n_both, count(distinct case when x.content = y.content then x.id end) as same
+  from e join s on e.feed = s.feed and e.ord = s.ord join vo x on x.feed = e.feed and x.ord = e.ord - 1 and x.field = e.field join vo y on y.feed = e.feed and y.ord = e.ord and y.field = s.field and y.id = x.id group by all),
+ren as (select feed, ord, field, new_field from (select *, row_number() over (partition by feed, ord, field order by same / n_both desc, same desc, new_field) as r1, row_number() over (partition by feed, ord, new_field order by same / n_both desc, same desc, field) as r2
+  from cand where same >= 0.8 * n_both) where r1 = 1 and r2 = 1),
+ty as (select *, last_value(own ignore nulls) over (partition by feed, field, island order by ord rows unbounded preceding) as t from cat),
+tn as (select feed, ord, field, t from ty),
+old as (select ty.feed, ty.file_no, ty.ord, ty.field, ty.t, coalesce(p.t, q.t) as before from ty left join tn p on p.feed = ty.feed and p.ord = ty.ord - 1 and p.field = ty.field
+  left join ren on ren.feed = ty.feed and ren.ord = ty.ord and ren.new_field = ty.field left join tn q on q.feed = ty.feed and q.ord = ty.ord - 1 and q.field = ren.field),
+log as (select feed, ord, 'added' as change, field, '' as new_field from s where not exists (select 1 from ren where ren.feed = s.feed and ren.ord = s.ord and ren.new_field = s.field)
+  union all select feed, ord, 'removed', field, '' from e where not exists (select 1 from ren where ren.feed = e.feed and ren.ord = e.ord and ren.field = e.field)
+  union all select feed, ord, 'renamed', field, new_field from ren union all select feed, ord, 'retyped', field, '' from old where before <> t)
+select feed, file_no, change, field, new_field from log join files using (feed, ord)""",
 }
