@@ -16,6 +16,7 @@ from almagre.llm.leak_index import leaked_spans
 from almagre.llm.name_variants import entities, variant_pairs
 from almagre.llm.names import breeder, names_channel, person, plain, usable
 from almagre.llm.packing import pack
+from almagre.llm.sql import SQL  # noqa: F401
 from almagre.llm.survivors import survivors
 from almagre.llm.subjects import subjects_of
 from almagre.operators.snapshot_diff import hour_and_minute
@@ -241,4 +242,3 @@ QUERIES = {
     "p8_packed": p8_packed, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_composition": p10_composition,
 }
-SQL: dict[str, str] = {}
