@@ -231,13 +231,13 @@ VALUES_PER_GROUP = 2000
 def mapped(values: DataFrame, refs: DataFrame, rules: dict[str, Rules]) -> DataFrame:
     """``(kind, value, ref_id)`` for each distinct value of a kind: the entries it means, or 0 if none.
 
-    ``values`` has columns kind and value, ``refs`` kind, ref_id, label and aka. Null values are left out, empty ones mean
+    ``values`` has columns kind and value, ``refs`` kind, ref_id, label and aka. Null values and entries without a label or number are left out, empty values mean
     none. Of two entries that fit equally well none is meant. With an empty list all values mean none.
     """
     kinds = list(rules)
     distinct = cut(values.select("kind", "value").where(F.col("value").isNotNull() & F.col("kind").isin(kinds)).distinct())
     typed = cut(distinct.mapInPandas(_segments(rules), "kind string, value string, seg int, at_value array<int>, token string, light boolean"))
-    refs = refs.where(F.col("label").isNotNull() & F.col("kind").isin(kinds)).select("kind", "ref_id", "label", "aka")
+    refs = refs.where(F.col("label").isNotNull() & F.col("ref_id").isNotNull() & F.col("kind").isin(kinds)).select("kind", "ref_id", "label", "aka")
     forms = cut(refs.mapInPandas(_forms(rules), "kind string, ref_id bigint, form int, word string, covers array<int>, plain boolean"))
     # weights: inverse frequency of a word over the entries; an unknown token weighs as much as the rarest word
     plain = forms.where("plain").select("kind", "ref_id", "form", "word", F.explode("covers").alias("at"))

@@ -196,11 +196,11 @@ def leaked_spans(documents: DataFrame, items: DataFrame, pass_chars: int = PASS_
 
     ``start`` and ``end`` are code point offsets, ``words`` the span's length. Overlapping windows of an
     item are merged; spans of different items may overlap. Items and documents of fewer than twelve words, empty and
-    null texts give nothing. A repeated item or document gives its spans as often. Items beyond ``pass_chars`` are
+    null texts and rows without an id give nothing. A repeated item or document gives its spans as often. Items beyond ``pass_chars`` are
     searched in further passes over the corpus.
     """
     spark = documents.sparkSession
-    items = items.where("text is not null").select("item_id", "text")
+    items = items.where("text is not null and item_id is not null").select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-total // pass_chars))
     schema = "item_id bigint, doc_id bigint, start int, end int, words int"
@@ -223,7 +223,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, pass_chars: int = PASS_
             parts.append(spark.createDataFrame([], schema))
             continue
         sc = spark.sparkContext
-        parts.append(documents.select("doc_id", "text").mapInPandas(_search(sc.broadcast(plan), sc.broadcast(known)), schema))
+        parts.append(documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(_search(sc.broadcast(plan), sc.broadcast(known)), schema))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)

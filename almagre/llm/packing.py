@@ -41,7 +41,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": sizes, "row": range(row, row + len(batch))})
             row += len(batch)
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, tokens int, row bigint")
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, tokens int, row bigint")
 
 
 class Tournament:
@@ -93,9 +93,9 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
     """``(container_id, capacity, group_no, bin_no, doc_id, part, first_token, tokens)``: where each part of each text goes.
 
     A bin is named by container, group and number. Empty and null texts take a place of 0 tokens. A document
-    that stands twice is packed twice. Container kinds are a short list of parameters (at most 1,000).
+    that stands twice is packed twice, one without an id not at all. Container kinds are a short list of parameters (at most 1,000).
     """
-    kinds = [(r["container_id"], r["capacity"]) for r in containers.where("capacity is not null").limit(1001).collect()]
+    kinds = [(r["container_id"], r["capacity"]) for r in containers.where("capacity is not null and container_id is not null").limit(1001).collect()]
     if len(kinds) > 1000:
         raise ValueError("more than 1,000 kinds of containers")
     groups = max(1, -(-documents.count() // group_docs))

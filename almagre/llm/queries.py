@@ -121,7 +121,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable values of the duplicate groups' members: ``(group_id, field, source, value, names, at, feed, row_id)``."""
-    groups, parts = table(spark, sf_dir, "dupgroups").select("group_id", "feed", "row_id").distinct(), []
+    groups, parts = table(spark, sf_dir, "dupgroups").select("group_id", "feed", "row_id").dropna().distinct(), []
     for feed in ("vadetoros", "elmuletazo", "lasventas", "canalextremadura"):
         df = table(spark, sf_dir, feed)
         at = "updatedAt" if feed == "canalextremadura" else "fetchedAt"

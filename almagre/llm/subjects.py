@@ -256,7 +256,7 @@ def subjects_of(
 ) -> DataFrame:
     """``(doc_id, subject, sentences, of_sentences)``: each subject that at least ``share`` of a document's sentences are about.
 
-    Null and empty texts have no subject; a repeated document gives its rows as often; labels of subjects that aren't
+    Null and empty texts and rows without an id have no subject; a repeated document gives its rows as often; labels of subjects that aren't
     in ``subjects`` (such as "none") count as no subject. The vocabulary, its weights and the SVD cover all
     documents; the centroids are fitted on labelled documents within the two bounds.
     """
@@ -266,7 +266,7 @@ def subjects_of(
     names = sorted({r["subject"] for r in subjects.where("subject is not null").select("subject").limit(10_001).collect()})
     if len(names) > 10_000:
         raise ValueError("more than 10,000 subjects")
-    docs = documents.select("doc_id", "text").where("text is not null")
+    docs = documents.select("doc_id", "text").where("text is not null and doc_id is not null")
 
     counts = cut(docs.mapInPandas(_count_terms, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")))
     totals = {r["term"]: r["n"] for r in counts.where(F.col("term").isin("", "\x00")).collect()}

@@ -93,7 +93,7 @@ def test_subjects_on_held_out_documents(spark):
             labels += [(d, s) for s in own or {"none"}]
         else:
             held[d] = own
-    docs += [(900, None, ""), (901, "", ""), (902, "... !", ""), (903, "Según dijo faena muleta estocada. " * 3000, "")]
+    docs += [(None, "faena", ""), (900, None, ""), (901, "", ""), (902, "... !", ""), (903, "Según dijo faena muleta estocada. " * 3000, "")]
     about = spark.createDataFrame([(s, " ".join(w[:3])) for s, w in WORDS.items() if s != "none"], "subject string, about string")
     df, lb = spark.createDataFrame(docs, "doc_id long, text string, subject string"), spark.createDataFrame(labels, "doc_id long, subject string")
     got: dict = {}
