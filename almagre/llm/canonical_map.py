@@ -216,7 +216,7 @@ def _best_entries(rules: dict[str, Rules]):
         s = s.groupby(["kind", "value", "seg", "ref_id"], sort=False)["score"].max().reset_index().sort_values(["score", "ref_id"], ascending=[False, True])
         best = s.groupby(["kind", "value", "seg"], sort=False)["score"].nlargest(2).groupby(["kind", "value", "seg"], sort=False).agg(["max", "min", "size"]).reset_index() if len(s) else s
         if not len(s):
-            return pd.DataFrame({"kind": [], "value": [], "ref_id": []})
+            return pd.DataFrame([], columns=["kind", "value", "ref_id"])
         clear = best[(best["size"] == 1) | (best["max"] - best["min"] > 1e-6)]
         top = s.drop_duplicates(["kind", "value", "seg"]).merge(clear[["kind", "value", "seg"]])
         return top[["kind", "value", "ref_id"]].drop_duplicates()
@@ -237,7 +237,7 @@ def mapped(values: DataFrame, refs: DataFrame, rules: dict[str, Rules]) -> DataF
     kinds = list(rules)
     distinct = cut(values.select("kind", "value").where(F.col("value").isNotNull() & F.col("kind").isin(kinds)).distinct())
     typed = cut(distinct.mapInPandas(_segments(rules), "kind string, value string, seg int, at_value array<int>, token string, light boolean"))
-    refs = refs.where(F.col("label").isNotNull() & F.col("ref_id").isNotNull() & F.col("kind").isin(kinds)).select("kind", "ref_id", "label", "aka")
+    refs = refs.where(F.col("label").isNotNull() & F.col("ref_id").isNotNull() & F.col("kind").isin(kinds)).select("kind", "ref_id", "label", "aka").distinct()
     forms = cut(refs.mapInPandas(_forms(rules), "kind string, ref_id bigint, form int, word string, covers array<int>, plain boolean"))
     # weights: inverse frequency of a word over the entries; an unknown token weighs as much as the rarest word
     plain = forms.where("plain").select("kind", "ref_id", "form", "word", F.explode("covers").alias("at"))

@@ -145,7 +145,7 @@ def _search_shard(docs: list, texts: list[str], symbols: list[int], starts: list
     which, low, high = index.search(items, begin, WINDOW)
     count = high - low
     if not len(which):
-        return pd.DataFrame({"item_id": [], "doc_id": [], "start": [], "end": [], "words": []})
+        return pd.DataFrame([], columns=["item_id", "doc_id", "start", "end", "words"])
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at = index.locate(np.repeat(low, count) + offset)
     doc = np.searchsorted(starts, at, side="right") - 1

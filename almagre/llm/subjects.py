@@ -64,7 +64,7 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per task: how many sentences hold each term; the empty term counts the sentences, None their terms."""
     counts: Counter = Counter()
     memo: dict[str, str] = {}
-    flat = lambda: pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
+    flat = lambda: pd.DataFrame(list(counts.items()), columns=["term", "n"])
     for batch in batches:
         for text in batch["text"]:
             for s in sentences(text):
@@ -83,7 +83,7 @@ def _forms(vocabulary):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts, memo = vocabulary.value, Counter(), {}
-        flat = lambda: pd.DataFrame({"form": list(counts.keys()), "n": list(counts.values())})
+        flat = lambda: pd.DataFrame(list(counts.items()), columns=["form", "n"])
         for batch in batches:
             for text in batch["text"]:
                 for s in sentences(text):
@@ -242,10 +242,8 @@ def _classify(model, names: list[str], share: float):
             np.add.at(table, (at, subject), 1)
             total = table.sum(axis=1)
             d, s = np.nonzero((table[:, :-1] > 0) & (table[:, :-1] >= share * total[:, None]))
-            yield pd.DataFrame({
-                "doc_id": [numbers[i] for i in d], "subject": [names[i] for i in s],
-                "sentences": table[d, s], "of_sentences": total[d],
-            })
+            found = [(numbers[i], names[j], int(table[i, j]), int(total[i])) for i, j in zip(d, s, strict=True)]
+            yield pd.DataFrame(found, columns=["doc_id", "subject", "sentences", "of_sentences"])
 
     return run
 
