@@ -79,6 +79,7 @@ def first_match_clusters(records: DataFrame, least_people: float, block: list[st
     """
     people = F.array_sort(F.array_distinct(F.coalesce("participants", F.array().cast("array<string>"))))
     keyed = records.withColumn("people_", people)
+    named = F.xxhash64(*block, *[F.col(c).isNull() for c in block], "people_")  # nulls leave no trace in a hash
     heads = keyed.groupBy(*block, "people_").agg(F.min_by("rec", "seq").alias("head"), F.min("seq").alias("seq"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,9 +104,9 @@ def first_match_clusters(records: DataFrame, least_people: float, block: list[st
         return pd.DataFrame(out, columns=["h_", "cluster"])
 
     # many small blocks are folded in one call; a block is never split
-    heads = heads.withColumn("h_", F.xxhash64(*block, "people_")).withColumn("bucket_", F.pmod(F.xxhash64(*block), F.lit(buckets)))
+    heads = heads.withColumn("h_", named).withColumn("bucket_", F.pmod(F.xxhash64(*block), F.lit(buckets)))
     folded = heads.groupBy("bucket_").applyInPandas(fold, "h_ bigint, cluster string")
-    return keyed.withColumn("h_", F.xxhash64(*block, "people_")).join(folded, "h_").select("rec", "cluster")
+    return keyed.withColumn("h_", named).join(folded, "h_").select("rec", "cluster")
 
 
 def survivors(records: DataFrame, cluster: str, score: Column, fields: list[str]) -> DataFrame:
