@@ -100,6 +100,10 @@ def _form(sentence: str, known: dict[str, int], memo: dict[str, str]) -> bytes:
     return np.unique(np.array([i for t in terms(sentence, memo) if (i := known.get(t)) is not None], dtype=np.int32)).tobytes()
 
 
+#: Sentence forms multiplied at a time: their entries by the rank must fit the cache's order of magnitude.
+AT_ONCE = 2000
+
+
 class Space:
     """Sentence forms as sparse, weighted, normalised rows over the vocabulary."""
 
@@ -107,22 +111,37 @@ class Space:
         parts = [np.frombuffer(f, dtype=np.int32) for f in forms]
         self.rows = len(parts)
         self.ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
-        self.row = np.repeat(np.arange(self.rows), [len(p) for p in parts])
+        self.ends = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]) if parts else np.zeros(1, dtype=np.int64)
+        self.row = np.repeat(np.arange(self.rows), np.diff(self.ends))
         weight = idf[self.ids]
         length = np.sqrt(np.bincount(self.row, weight**2, minlength=self.rows))
         self.weight = weight / np.maximum(length[self.row], 1e-12)
 
+    def _pieces(self) -> Iterator[tuple[int, int, slice]]:
+        for a in range(0, self.rows, AT_ONCE):
+            b = min(self.rows, a + AT_ONCE)
+            yield a, b, slice(int(self.ends[a]), int(self.ends[b]))
+
     def times(self, basis: np.ndarray) -> np.ndarray:
         out = np.zeros((self.rows, basis.shape[1]))
-        for c in range(basis.shape[1]):
-            out[:, c] = np.bincount(self.row, self.weight * basis[self.ids, c], minlength=self.rows)
+        for a, b, at in self._pieces():
+            starts = self.ends[a:b] - at.start
+            filled = np.diff(self.ends[a : b + 1]) > 0
+            if filled.any():
+                own = basis[self.ids[at]] * self.weight[at, None]
+                out[a:b][filled] = np.add.reduceat(own, starts[filled], axis=0)
         return out
 
-    def transposed_times(self, y: np.ndarray, terms: int) -> np.ndarray:
-        out = np.zeros((terms, y.shape[1]))
-        for c in range(y.shape[1]):
-            out[:, c] = np.bincount(self.ids, self.weight * y[self.row, c], minlength=terms)
-        return out
+    def add_transposed_times(self, total: np.ndarray, y: np.ndarray) -> None:
+        """Adds X'y to ``total``."""
+        for _, _, at in self._pieces():
+            ids = self.ids[at]
+            if len(ids):
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                own = y[self.row[at][order]] * self.weight[at][order, None]
+                total[ids[starts]] += np.add.reduceat(own, starts, axis=0)
 
     def embedded(self, basis: np.ndarray) -> np.ndarray:
         y = self.times(basis)
@@ -143,7 +162,7 @@ def _power_step(idf, basis):
             for at in range(0, len(batch), 20_000):
                 part = batch.iloc[at : at + 20_000]
                 x = Space(part["form"].tolist(), weights)
-                total += x.transposed_times(x.times(q) * part["n"].to_numpy()[:, None], len(weights))
+                x.add_transposed_times(total, x.times(q) * part["n"].to_numpy()[:, None])
         blocks = range(0, len(weights), BLOCK)
         yield pd.DataFrame({"block": [b // BLOCK for b in blocks], "part": [total[b : b + BLOCK].tobytes() for b in blocks]})
 
