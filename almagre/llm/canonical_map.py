@@ -110,9 +110,13 @@ def near_stop(token: str) -> bool:
     return len(token) <= 4 and any(len(s) > 1 and edit_distance(token, s, 1) <= 1 for s in STOP)
 
 
+#: Letters of a word beyond which it is matched as it stands only.
+LONGEST = 64
+
+
 def most_edits(length: int) -> int:
     """The edits a reference token of so many letters may be repaired by."""
-    return 0 if length < 3 else 1 if length < 10 else 2
+    return 0 if length < 3 or length > LONGEST else 1 if length < 10 else 2
 
 
 def _deletions(token: str, edits: int) -> set[str]:
@@ -124,7 +128,7 @@ def _deletions(token: str, edits: int) -> set[str]:
 
 def _with_deletions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(t, x) for t in batch["token"] for x in _deletions(t, most_edits(len(t) + 1))]
+        rows = [(t, x) for t in batch["token"] for x in _deletions(t, most_edits(min(len(t) + 1, LONGEST) if len(t) <= LONGEST + 1 else 0))]
         yield pd.DataFrame(rows, columns=["token", "rest"])
 
 

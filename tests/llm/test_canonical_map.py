@@ -15,6 +15,7 @@ MEANT = [
     ("type", "Novillada s/p", {12}), ("type", "Nov. con picadores", {11}), ("type", "Novillada picada", {11}), ("type", "Mixta", {13}), ("type", "Toro de fuego", {0}), ("type", "Encierro a pie", {14}), ("type", "Corrda de toros", {10}), ("type", "Certamen de novilladas sin caballos", {12}),
     ("place", "Valdeplata, Tierra Parda", {21}), ("place", "Albarrena: Valdepalta", {20}), ("place", "Valdeplata", {0}), ("place", "hontanedo del campo", {22}), ("place", "Hontanedo (Vegalonga)", {0}), ("place", "Hontanedo de Arriba (Vegalonga)", {0}),
     ("place", "Plaza de toros de Madralba (Alto.)", {23}), ("place", "Madralba (Altozano Real) Feria de San Blas", {23}), ("place", "Hontanedo edl Campo (Vegalonga)", {22}), ("place", "w" * 5000, {0}),
+    ("place", "".join(chr(97 + i * i % 26) for i in range(5000)), {0}),
 ]
 
 
