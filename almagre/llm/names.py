@@ -72,6 +72,10 @@ def names_channel(text: str | None) -> bool:
     return usable(text) and plain(text).strip() not in NO_CHANNEL
 
 
+#: Letters of the longest word a name may have.
+LONGEST = 40
+
+
 class Name(NamedTuple):
     """A name taken apart. ``head``: given name or titles; ``rest``: surnames or the breeder's own name."""
 
@@ -122,7 +126,7 @@ def breeder(text: str) -> Name | None:
         words = [words[-1], *words[:-1]]
     titles = _title(words[0]) if words else ()
     own = tuple(w for w in words[1:] if w not in LINKS)
-    if not titles or not own or len(own) > 4:
+    if not titles or not own or len(own) > 4 or max(map(len, own)) > LONGEST:
         return None
     # the name after the title is written as a name: it begins with a capital, unless all is small
     return Name("breeder", words[0], titles, own, False)
@@ -138,7 +142,7 @@ def person(text: str) -> Name | None:
         return None
     given, family = (m.group(2), m.group(1)) if m else (None, None)
     words = shown.split() if not m else given.split() + family.split()
-    if not 2 <= len(words) <= 4 or any(len(w.rstrip(".")) < 1 for w in words):
+    if not 2 <= len(words) <= 4 or any(not 1 <= len(w.rstrip(".")) <= LONGEST for w in words):
         return None
     caps = [w[0].isupper() for w in words]
     if any(caps) and not all(caps):
