@@ -27,7 +27,7 @@ RANK, POWER, CENTROIDS, SHARE = 200, 3, 1200, 0.25
 #: Least share of the sentences a term stands in, and the largest vocabulary that may follow from it.
 TERM_SHARE, MOST_TERMS = 1e-4, 60_000
 #: Bounds of the labelled sample the centroids are fitted on: documents and characters, both expected values.
-LABELLED_DOCS, LABELLED_CHARS = 20_000, 40_000_000
+LABELLED_DOCS, LABELLED_CHARS = 10_000, 20_000_000
 #: Entries a task gathers before it passes them on.
 FLUSH = 200_000
 #: Share of a centroid's sentences from documents of a subject from which it stands for the subject; sharpness of the vote.
