@@ -145,9 +145,13 @@ _column("f71_upper_median", "embeddings", lambda: F.round(similarity.upper_media
 _column("a12_at_share", "embeddings", lambda: F.round(similarity.at_share(C("embedding"), 0.92), 6), "round(list_sort(embedding)[cast(floor(len(embedding) * 0.92) as int) + 1], 6)", "vec_id")
 _column("f71_nearest", "embeddings", lambda: similarity.nearest(C("embedding"), F.lit(0.1)), "list_position(list_transform(embedding, lambda x: abs(x::double - 0.1)), list_min(list_transform(embedding, lambda x: abs(x::double - 0.1)))) - 1", "vec_id")
 
+_in_order = lambda xs, part="": f"array_to_string(list_filter({xs}, lambda z, i: list_position({xs}, z) = i){part}, '|')"
+_CLEAN = f"list_filter(list_transform(list_filter(coalesce(participants, []), lambda z: z is not null), lambda z: {_squeezed('z')}), lambda z: z <> '' and length(z) <= 40 and not regexp_matches(z, '(?i)leer|ver |entradas'))"
+_NAMES = rf"list_filter(list_transform(string_split_regex(regexp_extract(sourceText, ' para (.*)\.$', 1), '\s*[,;·]\s*|\s+[ye]\s+'), lambda z: {_squeezed('z')}), lambda z: z <> '')"
+
 # -- lists --------------------------------------------------------------------------------------------
-_column("f80_cleaned", "lasventas", lambda: F.array_join(arrays.cleaned(C("participants"), 40, "(?i)leer|ver |entradas"), "|"), None)
-_column("f81_split_names", "elmuletazo", lambda: F.array_join(arrays.split_names(F.regexp_extract("sourceText", r" para (.*)\.$", 1), 8), "|"), None)
+_column("f80_cleaned", "lasventas", lambda: F.array_join(arrays.cleaned(C("participants"), 40, "(?i)leer|ver |entradas"), "|"), _in_order(_CLEAN))
+_column("f81_split_names", "elmuletazo", lambda: F.array_join(arrays.split_names(F.regexp_extract("sourceText", r" para (.*)\.$", 1), 8), "|"), _in_order(_NAMES, "[1:8]"))
 _column("f82_merged", "elmuletazo", lambda: F.size(arrays.merged(F.slice(F.coalesce("participants", F.array().cast("array<string>")), 1, 2), F.coalesce("participants", F.array().cast("array<string>")), lambda a, b: similarity.fuzzy(text.normalized(a), text.normalized(b)) >= 0.75)), None)
 _column("f83_union", "vadetoros", lambda: F.array_join(F.array_union("participants", F.array(F.lit("Víctor Gallededor"))), "|"), "array_to_string(case when list_contains(participants, 'Víctor Gallededor') then participants else list_append(participants, 'Víctor Gallededor') end, '|')")
 _column("f86_chosen", "lasventas", lambda: arrays.chosen(C("breeding"), C("name"), F.length("name") > F.length("breeding")), "case when length(name) > length(breeding) then coalesce(nullif(name, ''), nullif(breeding, '')) else coalesce(nullif(breeding, ''), nullif(name, '')) end")
@@ -157,7 +161,7 @@ _details = lambda: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("co
 _column("f84_best_per_name", "lasventas", lambda: F.array_join(F.transform(arrays.best_per_name(_details()), lambda d: F.concat(d["name"], d["confidence"].cast("string"))), ","), "'a95,b90'")
 
 # -- records out of text ------------------------------------------------------------------------------
-_column("x01_blocks", "documents", lambda: F.size(extract.blocks(C("text"), r"Además", "(?i)de")), None, "doc_id")
+_column("x01_blocks", "documents", lambda: F.size(extract.blocks(C("text"), r"Además", "(?i)de")), """len(string_split("text", 'Además')) - 1 + case when regexp_matches(string_split("text", 'Además')[1], '(?i)de') then 1 else 0 end""", "doc_id")
 _column("x02_repeated", "documents", lambda: F.array_join(F.transform(extract.repeated(C("text"), r"(\d+) (euros|minutos|días)", {"n": 1, "unit": 2}), lambda m: F.concat_ws(" ", m["n"], m["unit"])), "|"), r"""array_to_string(regexp_extract_all("text", '\d+ (?:euros|minutos|días)'), '|')""", "doc_id")
 _column("x05_lineup", "elmuletazo", lambda: F.concat_ws("|", extract.lineup(C("sourceText"), [r"con reses de (.*?) para "], [r" para (.*)\.$"])["breeding"]), f"coalesce(nullif({_squeezed(chr(39).join(['regexp_extract(sourceText, ', 'con reses de (.*?) para ', ', 1)']))}, ''), '')")
 _column("x07_between", "elmuletazo", lambda: extract.between(C("sourceText"), "📺", "🏟"), f"nullif({_squeezed(chr(39).join(['regexp_extract(sourceText, ', '(?s)📺(.*?)(?:🏟|$)', ', 1)']))}, '')")
