@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from almagre.llm import entity_match as em
 from almagre.llm import subjects as sj
@@ -62,6 +63,37 @@ def test_close_vectors_always_share_a_key(spark):
     assert all(p in shared for p in pairs)
 
 
+def test_scored_pairs_are_those_of_brute_force(spark):
+    """Days apart and several slips in every field: no pair that reaches the least score is lost."""
+    rnd, rows = random.Random(5), []
+    slip = lambda t: "".join(c if rnd.random() > 0.12 else rnd.choice("aeioulnrs") for c in t)
+    for i in range(60):
+        day, people = rnd.randint(8000, 8010), [f"{rnd.choice(FIRST)} {rnd.choice(LAST)}" for _ in range(3)]
+        town, herd = rnd.choice(TOWNS), rnd.choice(HERDS)
+        rows.append((f"vadetoros:{i}", "vadetoros", [day], "18:00", f"{town} (Sotomar)", None, people, f"Marqués de {herd}"))
+        rows.append((f"elmuletazo:{i}", "elmuletazo", [day + rnd.randint(-4, 4)], "", slip(town), None, [*map(slip, people[: rnd.randint(1, 3)])], f"Marqués de {slip(herd)}"))
+    vectors = em.encoded(spark.createDataFrame(rows, SCHEMA)).withColumn("id", F.xxhash64("rec")).cache()
+    count = lambda vs: sum((v % 2**64).bit_count() for v in vs)
+    dice = lambda x, y: 2 * count([v & w for v, w in zip(x, y, strict=True)]) / (count(x) + count(y))
+    best = lambda xs, ys: max((dice([x], [y]) for x in xs for y in ys), default=None)
+    all_rows, expected = vectors.collect(), {}
+    for a in (r for r in all_rows if r.feed == "elmuletazo"):
+        for b in (r for r in all_rows if r.feed == "vadetoros"):
+            if abs(a.days[0] - b.days[0]) > em.GAP:
+                continue
+            parts = [(0.5, dice(a.people, b.people) if a.people and b.people else None), (0.22, best(a.places, b.places)), (0.22, best(a.breeders, b.breeders))]
+            parts = [(w, d) for w, d in parts if d is not None]
+            score = sum(w * d for w, d in parts) / sum(w for w, _ in parts) if parts else 0
+            if score >= em.LEAST_SCORE:
+                expected[a.id, b.id] = (abs(a.days[0] - b.days[0]), pytest.approx(score))
+    for at_once in (em.AT_ONCE, 7):
+        em.AT_ONCE, before = at_once, em.AT_ONCE
+        got = em.scored_pairs(vectors.where("feed = 'elmuletazo'"), vectors.where("feed = 'vadetoros'"), em.Weights()).collect()
+        em.AT_ONCE = before
+        assert {(r.a, r.b): (r.gap, r.score) for r in got} == expected
+    assert len(got) == len(expected) and sum(gap > 0 for gap, _ in expected.values()) > 20
+
+
 def test_calibration_never_falls():
     real, chance = {(0, b): 10 * b + 5 for b in range(10)}, {(0, b): (10 - b) * 3 + (b == 5) * 30 for b in range(10)}
     got = em.calibrated(real, chance)
