@@ -28,6 +28,8 @@ RANK, POWER, CENTROIDS, SHARE = 200, 3, 1200, 0.25
 TERM_SHARE, MOST_TERMS = 1e-4, 60_000
 #: Bounds of the labelled sample the centroids are fitted on: documents and characters, both expected values.
 LABELLED_DOCS, LABELLED_CHARS = 10_000, 20_000_000
+#: Letters up to which a small word may link capitalised ones in title case ("de la").
+LINK = 3
 #: Entries a task gathers before it passes them on.
 FLUSH = 200_000
 #: Share of a centroid's sentences from documents of a subject from which it stands for the subject; sharpness of the vote.
@@ -47,10 +49,14 @@ def sentences(text: str | None) -> list[str]:
 
 
 def terms(sentence: str, memo: dict[str, str]) -> list[str]:
-    """Words and pairs of neighbours, without numbers and names (capitals inside the sentence)."""
-    words = []
-    for k, w in enumerate(_word.findall(sentence)):
-        if not w.isdigit() and (k == 0 or not w[0].isupper()):
+    """Words and pairs of neighbours, without numbers and names (capitals inside the sentence).
+
+    A sentence in capitals or title case, without a small word longer than LINK after its first, says nothing of names; all its words count.
+    """
+    words, found = [], _word.findall(sentence)
+    names = any(len(w) > LINK and w[0].islower() for w in found[1:])
+    for k, w in enumerate(found):
+        if not w.isdigit() and (k == 0 or not names or not w[0].isupper()):
             f = memo.get(w)
             if f is None:
                 if len(memo) > FLUSH:

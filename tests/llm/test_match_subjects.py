@@ -138,6 +138,20 @@ def test_subjects_on_held_out_documents(spark):
     assert sj.subjects_of(df, lb.limit(0), about, rank=20).count() > 0
 
 
+def test_sentences_in_capitals_keep_their_words(spark):
+    small = sj.terms("el picador de la segunda vara", {})
+    assert sj.terms("EL PICADOR DE LA SEGUNDA VARA", {}) == sj.terms("El Picador de la Segunda Vara 12", {}) == small
+    assert sj.terms("Ayer Ana Pérez toreaba", {}) == ["ayer", "toreaba", "ayer toreaba"]
+    rnd = random.Random(9)
+    docs = [(d, _document(rnd, [s], 6)[0]) for d in range(300) for s in [["sport", "law", "music"][d % 3]]]
+    labels = [(d, ["sport", "law", "music"][d % 3]) for d in range(200)]
+    docs = [(d, t if d < 200 else t.upper() if d < 250 else t.title()) for d, t in docs]
+    about = spark.createDataFrame([(s, " ".join(WORDS[s][:3])) for s in ("sport", "law", "music")], "subject string, about string")
+    found = sj.subjects_of(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string"), about, rank=20)
+    got = {(r.doc_id, r.subject) for r in found.where("doc_id >= 200").collect()}
+    assert got == {(d, ["sport", "law", "music"][d % 3]) for d in range(200, 300)}
+
+
 def test_basis_is_the_truncated_svd(spark):
     import numpy as np
 
