@@ -57,18 +57,24 @@ def pair_score(a: str, b: str, s: Scoring = Scoring()) -> Column:
 
 
 def best_matches(left: DataFrame, right: DataFrame, s: Scoring = Scoring()) -> DataFrame:
-    """For each left record its best right one of the same date, kind and place or channel, if it reaches the least score.
+    """For each left record its best right one of the same date and kind, if it reaches the least score.
 
-    Candidates come from two equality joins (by place, by channel), not from all pairs of a date.
+    Merely similar places can reach it too, so all pairs of a date and kind are scored; records that say the same are scored once.
     """
-    a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns])
-    b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
-    same = (F.col("a_date") == F.col("b_date")) & (F.col("a_kind") == F.col("b_kind"))
-    by_place = a.join(b, same & (F.col("a_place") == F.col("b_place")) & (F.col("a_place") != ""))
-    by_channel = a.join(b, same & (F.col("a_channel") == F.col("b_channel")) & (F.col("a_channel") != ""))
-    pairs = by_place.unionByName(by_channel).withColumn("score", pair_score("a_", "b_", s)).where(F.col("score") >= s.least)
+    said = ("date", "kind", "time", "place", "channel", "breeding", "participants")
+    # nulls leave no trace in a hash
+    named = F.xxhash64(*said, *[F.col(c).isNull() for c in said], F.size("participants"))
+    keyed = left.select("rec", named.alias("h_"), *said)
+    a = keyed.groupBy("h_").agg(*[F.first(c).alias(f"a_{c}") for c in said])
+    b = right.groupBy(named.alias("b_h")).agg(F.min_by("rec", "seq").alias("b_rec"), F.min("seq").alias("b_seq"), *[F.first(c).alias(f"b_{c}") for c in said])
+    pairs = a.join(b, (F.col("a_date") == F.col("b_date")) & (F.col("a_kind") == F.col("b_kind")))
+    pairs = pairs.select("h_", "b_rec", "b_seq", pair_score("a_", "b_", s).alias("score")).where(F.col("score") >= s.least)
     best = F.max_by(F.struct("b_rec", "score"), F.struct("score", -F.col("b_seq"))).alias("r")
-    return pairs.groupBy("a_rec").agg(best).select("a_rec", "r.b_rec", "r.score")
+    found = pairs.groupBy("h_").agg(best)
+    return (
+        keyed.select(F.col("rec").alias("a_rec"), "h_").join(found, "h_")
+        .groupBy("a_rec").agg(F.max_by("r", "r.score").alias("r")).select("a_rec", "r.b_rec", "r.score")
+    )
 
 
 def first_match_clusters(records: DataFrame, least_people: float, block: list[str], buckets: int = 512) -> DataFrame:

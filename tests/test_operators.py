@@ -152,6 +152,21 @@ def test_resolution(spark, rows):
     assert clusters == {"r0": "r0", "r1": "r0", "r2": "r0", "r3": "r3", "r4": "r4", "r5": "r4", "r6": "r0"}
 
 
+def test_best_matches_are_those_of_the_whole_date(spark, rows):
+    import random
+
+    rnd = random.Random(3)
+    places = ["Villarroble (Sotomar)", "Villarroble, Sotomar", "Hontanedo de la Sierra", "Hontanedo de la Sierra Feria de los Remedios", "Madralba", "", None]
+    made = lambda n: [(f"2025-01-0{rnd.randint(1, 2)}", rnd.choice(["19:00", "19:30", "12:00", None]), rnd.choice(places), rnd.choice("AB"), rnd.choice(["Marqués de X", "", None]), rnd.choice([["p", "q"], ["p"], [], None])) for _ in range(n)]
+    left, right = _records(spark, made(40)), _records(spark, made(40))
+    a, b = (df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns]) for df, p in ((left, "a_"), (right, "b_")))
+    every = a.crossJoin(b).withColumn("score", resolution.pair_score("a_", "b_")).where("score >= 70")
+    expected = every.groupBy("a_rec").agg(F.max_by(F.struct("b_rec", "score"), F.struct("score", -F.col("b_seq"))).alias("r")).select("a_rec", "r.b_rec", "r.score")
+    assert rows(resolution.best_matches(left, right)) == rows(expected)
+    one = lambda place, channel: _records(spark, [("2025-01-01", "19:00", place, channel, None, None)])
+    assert len(rows(resolution.best_matches(one(places[0], "A"), one(places[1], "B")))) == 1
+
+
 def test_quality(spark, rows):
     df = spark.createDataFrame([(1, "x"), (2, None)], "id int, c string")
     assert rows(quality.violations(df, "id", {"c": F.col("c") != ""})) == [(2, "c")]
