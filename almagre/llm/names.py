@@ -159,6 +159,11 @@ def person(text: str) -> Name | None:
     return Name("person", head, (), rest, short)
 
 
+def familiar_for(short: str) -> tuple[str, ...]:
+    """The given names a familiar form may stand for."""
+    return tuple(_familiar.get(short, ()))
+
+
 def same_head(short: str, full: str) -> int:
     """How a given name may stand for another: 0 the same, 1 a short or familiar form, 2 with a letter lost, 9 not at all."""
     if short == full:
