@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from almagre.functions.dates import closeness, minutes
 from almagre.functions.similarity import fuzzy, rounded, share_of_smaller
-from almagre.functions.text import normalized
+from almagre.functions.text import folded, normalized
 
 
 @dataclass(frozen=True)
@@ -115,6 +115,60 @@ def first_match_clusters(records: DataFrame, least_people: float, block: list[st
     return keyed.withColumn("h_", named).join(folded, "h_").select("rec", "cluster")
 
 
+def canonical_place(col: Column) -> Column:
+    """A place for comparison: no accents, case or punctuation; the province stays, whether in parentheses or after a comma."""
+    bare = F.regexp_replace(folded(col), r"\b(?:espana|plaza de toros|monumental)\b", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[()\[\],.;:]", " "), r"\s+", " "))
+
+
+def _alike(a: str, b: str) -> float:
+    """Of two folded texts: 1 if equal, 0.92 if one contains the other, else the common words over the larger set; 0 if one is empty."""
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    x, y = set(a.split()), set(b.split())
+    return 0.92 if a in b or b in a else len(x & y) / max(len(x), len(y))
+
+
+def same_event_clusters(records: DataFrame, s: Scoring = Scoring(), buckets: int = 512) -> DataFrame:
+    """``(rec, cluster)``: an ordered fold of the records of a date, canonical place and kind.
+
+    A record joins the first cluster whose people it shares enough or whose breeding is alike enough, else begins one. A cluster keeps the people and
+    the breeding of its first record that has any. Records without a date or place, or with neither people nor breeding, join nothing.
+    """
+    people = F.transform(F.coalesce("participants", F.array().cast("array<string>")), folded)
+    text = lambda c: F.coalesce(folded(F.col(c)), F.lit(""))
+    keyed = records.select(
+        "rec", "seq", F.col("date").alias("date_"), F.coalesce(canonical_place(F.col("place")), F.lit("")).alias("place_"), text("kind").alias("kind_"),
+        text("breeding").alias("breeding_"), F.array_sort(F.array_distinct(F.filter(people, lambda p: p != ""))).alias("people_"),
+    )
+    alone = F.coalesce(F.col("date_"), F.lit("")).isin("") | (F.col("place_") == "") | ((F.size("people_") == 0) & (F.col("breeding_") == ""))
+    block, said = ["date_", "place_", "kind_"], ["date_", "place_", "kind_", "breeding_", "people_"]
+    some = keyed.where(~alone).withColumn("h_", F.xxhash64(*said))
+    # copies are folded once: they join their first one's cluster
+    heads = some.groupBy("h_").agg(F.min_by("rec", "seq").alias("head"), F.min("seq").alias("seq"), *[F.first(c).alias(c) for c in said])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        state: dict[tuple, list[list]] = {}
+        out = []
+        for r in pdf.sort_values("seq").itertuples(index=False):
+            clusters, own, breeding = state.setdefault((r.date_, r.place_, r.kind_), []), set(r.people_), r.breeding_
+            for c in clusters:
+                if (own and c[1] and len(own & c[1]) / min(len(own), len(c[1])) >= s.same_people) or _alike(breeding, c[2]) >= s.same_breeding:
+                    c[1], c[2] = c[1] or own, c[2] or breeding
+                    break
+            else:
+                c = [r.head, own, breeding]
+                clusters.append(c)
+            out.append((r.h_, c[0]))
+        return pd.DataFrame(out, columns=["h_", "cluster"])
+
+    # many small blocks are folded in one call; a block is never split
+    folded_ = heads.withColumn("bucket_", F.pmod(F.xxhash64(*block), F.lit(buckets))).groupBy("bucket_").applyInPandas(fold, "h_ bigint, cluster string")
+    return some.select("rec", "h_").join(folded_, "h_").select("rec", "cluster").unionByName(keyed.where(alone).select("rec", F.col("rec").alias("cluster")))
+
+
 def survivors(records: DataFrame, cluster: str, score: Column, fields: list[str]) -> DataFrame:
     """One record per cluster: each field from its best-scored member that has it, the first of equals; n members."""
     def best(c: str) -> Column:

@@ -370,8 +370,9 @@ def e02_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e10_first_match_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Festejos of a day and place that share half their people, clustered in order."""
-    return resolution.first_match_clusters(_records(spark, sf_dir, "vadetoros"), 0.5, ["date", "place"])
+    """Festejos of a day, place and type that share half their people or have nearly the same breeding, clustered in order."""
+    types = table(spark, sf_dir, "vadetoros").select(C("row_id").alias("seq"), C("type").alias("kind"))
+    return resolution.same_event_clusters(_records(spark, sf_dir, "vadetoros").drop("kind").join(types, "seq"))
 
 
 @query("""select id, first(time order by s desc, row_id) filter (coalesce(time, '') <> '') as time, first(breeding order by s desc, row_id) filter (coalesce(breeding, '') <> '') as breeding, count(*) as members

@@ -167,6 +167,20 @@ def test_best_matches_are_those_of_the_whole_date(spark, rows):
     assert len(rows(resolution.best_matches(one(places[0], "A"), one(places[1], "B")))) == 1
 
 
+def test_same_event_clusters(spark, rows):
+    data = [
+        ("d", None, "Villarroble (Sotomar)", None, "Marqués de X", ["Ana"]), ("d", None, "Villarroble, Sotomar", None, "marques de x", None),
+        ("d", None, "Villarroble (Sotomar)", None, None, ["ANA", "Eva"]), ("d", None, "Villarroble (Sotomar)", None, "Otro", ["Luis"]),
+        ("d", None, "Villarroble (Sotomar)", None, None, None), ("d", None, "Villarroble (Sotomar)", None, None, []), ("d", None, "", None, "Marqués de X", ["Ana"]),
+        (None, None, "Villarroble (Sotomar)", None, "Marqués de X", ["Ana"]), ("d", None, "Villarroble (Sotomar)", None, "Marqués de X", ["Ana"]),
+    ]
+    records = _records(spark, data)
+    got = dict(rows(resolution.same_event_clusters(records)))
+    assert got == {"r0": "r0", "r1": "r0", "r2": "r0", "r3": "r3", "r4": "r4", "r5": "r5", "r6": "r6", "r7": "r7", "r8": "r0"}
+    other = records.withColumn("kind", F.when(F.col("rec") == "r1", "Novillada").otherwise("Corrida"))
+    assert dict(rows(resolution.same_event_clusters(other)))["r1"] == "r1"
+
+
 def test_quality(spark, rows):
     df = spark.createDataFrame([(1, "x"), (2, None)], "id int, c string")
     assert rows(quality.violations(df, "id", {"c": F.col("c") != ""})) == [(2, "c")]
