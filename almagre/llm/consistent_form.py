@@ -40,8 +40,8 @@ IGNORABLE = (
 # White space that is not U+0020 (Unicode White_Space) and the separators of ASCII.
 SPACES = r"\t\n\x0b\x0c\r\x1c-\x1f\x85   -     　"
 
-#: Values of these characters only are consistent; every other one is looked at. (JVM-side filter; Java and Python read it alike.)
-PLAIN = r"^[ -~áéíóúüñçàèìòùâêîôûãõäëïöÁÉÍÓÚÜÑÇÀÈÌÒÙÂÊÎÔÛÃÕÄËÏÖ«»¿¡ªº·–—‘’“”…‹›]*$"
+#: Values of these characters only are consistent; every other one is looked at. (JVM-side filter; matched whole, as $ would pass over a last line end.)
+PLAIN = r"[ -~áéíóúüñçàèìòùâêîôûãõäëïöÁÉÍÓÚÜÑÇÀÈÌÒÙÂÊÎÔÛÃÕÄËÏÖ«»¿¡ªº·–—‘’“”…‹›]*"
 
 _plain = re.compile(PLAIN)
 _spaces = re.compile(f"[{SPACES}]")
@@ -134,7 +134,7 @@ def _one_script(text: str) -> str:
 
 def consistent(text: str | None) -> str | None:
     """The consistent form of one value; null stays null, an empty text empty."""
-    if text is None or _plain.match(text):
+    if text is None or _plain.fullmatch(text):
         return text
     text = _spaces.sub(" ", "".join(map(_plain_form, text)))
     if _ignorable.search(text):
@@ -175,6 +175,6 @@ def not_consistent(df: DataFrame, value: str, key: str = "row_id") -> DataFrame:
     of any other name pass unread. Plain values never leave the JVM: only those with an unusual
     character reach Python.
     """
-    doubtful = df.select(F.col(key).alias("key"), F.col(value).alias("value")).where(~F.col("value").rlike(PLAIN))
+    doubtful = df.select(F.col(key).alias("key"), F.col(value).alias("value")).where(~F.col("value").rlike(rf"\A{PLAIN}\z"))
     formed = doubtful.withColumn("form", consistent_column(F.col("value")))
     return formed.where(F.col("form") != F.col("value"))

@@ -51,3 +51,12 @@ def test_columns_agree_with_the_function(spark, rows):
     assert cf.not_consistent(df.limit(0), "value").count() == 0
     keys = df.select(cf.comparison_key(F.col("value"))).distinct().count()
     assert keys <= len(values)
+
+
+def test_a_last_line_end_is_not_passed_over(spark):
+    from almagre.llm import consistent_form as cf
+
+    ends = ["\n", "\r", "\r\n", "\u0085", "\u2028", "\u2029"]
+    df = spark.createDataFrame([(i, f"Ana Pérez{e}") for i, e in enumerate(["", *ends])], "key long, value string")
+    assert sorted(r.key for r in cf.not_consistent(df, "value", "key").select("key").collect()) == list(range(1, len(ends) + 1))
+    assert all(cf.consistent(f"Ana Pérez{e}") != f"Ana Pérez{e}" for e in ends)
