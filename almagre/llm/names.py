@@ -7,6 +7,7 @@ import unicodedata
 from typing import NamedTuple
 
 from almagre.llm.consistent_form import consistent
+from almagre.llm.slips import lost
 
 # Words of texts that stand for a missing value (folded, without accents).
 PLACEHOLDER = re.compile(
@@ -72,10 +73,6 @@ def names_channel(text: str | None) -> bool:
     return usable(text) and plain(text).strip() not in NO_CHANNEL
 
 
-#: Letters of the longest word a name may have.
-LONGEST = 40
-
-
 class Name(NamedTuple):
     """A name taken apart. ``head``: given name or titles; ``rest``: surnames or the breeder's own name."""
 
@@ -86,19 +83,6 @@ class Name(NamedTuple):
     short: bool
 
 
-def lost(a: str, b: str) -> int:
-    """Letters of the longer token outside the longest common subsequence."""
-    if a == b:
-        return 0
-    last = [0] * (len(b) + 1)
-    for x in a:
-        row = [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[-1]))
-        last = row
-    return max(len(a), len(b)) - last[-1]
-
-
 def similar(a: str, b: str) -> bool:
     """Longest-common-subsequence ratio of at least one letter short of the longer token (of five letters or more)."""
     return a == b or (max(len(a), len(b)) >= 5 and abs(len(a) - len(b)) <= 1 and lost(a, b) <= 1)
@@ -126,7 +110,7 @@ def breeder(text: str) -> Name | None:
         words = [words[-1], *words[:-1]]
     titles = _title(words[0]) if words else ()
     own = tuple(w for w in words[1:] if w not in LINKS)
-    if not titles or not own or len(own) > 4 or max(map(len, own)) > LONGEST:
+    if not titles or not own or len(own) > 4:
         return None
     # the name after the title is written as a name: it begins with a capital, unless all is small
     return Name("breeder", words[0], titles, own, False)
@@ -142,7 +126,7 @@ def person(text: str) -> Name | None:
         return None
     given, family = (m.group(2), m.group(1)) if m else (None, None)
     words = shown.split() if not m else given.split() + family.split()
-    if not 2 <= len(words) <= 4 or any(not 1 <= len(w.rstrip(".")) <= LONGEST for w in words):
+    if not 2 <= len(words) <= 4 or any(not w.rstrip(".") for w in words):
         return None
     caps = [w[0].isupper() for w in words]
     if any(caps) and not all(caps):
