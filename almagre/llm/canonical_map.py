@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,13 +111,15 @@ def near_stop(token: str) -> bool:
     return len(token) <= 4 and any(len(s) > 1 and edit_distance(token, s, 1) <= 1 for s in STOP)
 
 
-#: Letters of a word beyond which it is matched as it stands only.
+#: Letters of a word up to which it is found by its deletions; a longer one is found by a piece that no edit touches.
 LONGEST = 64
+#: Edits of the longest words, and pieces of a long one: two edits, exchanged neighbours on a border included, touch four at most.
+EDITS, PIECES = 2, 5
 
 
 def most_edits(length: int) -> int:
     """The edits a reference token of so many letters may be repaired by."""
-    return 0 if length < 3 or length > LONGEST else 1 if length < 10 else 2
+    return 0 if length < 3 else 1 if length < 10 else EDITS
 
 
 def _deletions(token: str, edits: int) -> set[str]:
@@ -126,24 +129,57 @@ def _deletions(token: str, edits: int) -> set[str]:
     return out
 
 
-def _with_deletions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [(t, x) for t in batch["token"] for x in _deletions(t, most_edits(min(len(t) + 1, LONGEST) if len(t) <= LONGEST + 1 else 0))]
-        yield pd.DataFrame(rows, columns=["token", "rest"])
+def _cuts(length: int) -> list[int]:
+    return [length * i // PIECES for i in range(PIECES + 1)]
+
+
+def _word_keys(word: str) -> set[str]:
+    """What a reference word shares with every token it may repair."""
+    if len(word) <= LONGEST:
+        return _deletions(word, most_edits(len(word)))
+    cuts = _cuts(len(word))
+    return {f"{len(word)}:{i}:{xxhash.xxh64_hexdigest(word[cuts[i] : cuts[i + 1]])}" for i in range(PIECES)}
+
+
+def _token_keys(token: str) -> set[str]:
+    """What a token shares with every reference word that may repair it; linear in its length."""
+    out = _deletions(token, most_edits(min(len(token) + 1, LONGEST))) if len(token) <= LONGEST + EDITS else set()
+    for length in range(max(LONGEST + 1, len(token) - EDITS), len(token) + EDITS + 1):
+        cuts = _cuts(length)
+        for i in range(PIECES):
+            n = cuts[i + 1] - cuts[i]
+            for at in range(max(0, cuts[i] - EDITS), min(len(token) - n, cuts[i] + EDITS) + 1):
+                out.add(f"{length}:{i}:{xxhash.xxh64_hexdigest(token[at : at + n])}")
+    return out
+
+
+def _with_keys(keys):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(t, x) for t in batch["token"] for x in keys(t)], columns=["token", "rest"])
+
+    return run
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Edits, with exchanged neighbours as one, or ``most + 1`` where there are more."""
+    """Edits, with exchanged neighbours as one, or ``most + 1`` where there are more; only the diagonals within ``most`` are filled."""
+    over = most + 1
     if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = None, list(range(len(b) + 1))
+        return over
+    before: list[int] | None = None
+    last = [min(j, over) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
+        low, high = max(1, i - most), min(len(b), i + most)
+        row = [over] * (len(b) + 1)
+        row[0] = min(i, over)
+        for j in range(low, high + 1):
+            y = b[j - 1]
+            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if before and j > 1 and i > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
-            row.append(d)
+            row[j] = min(d, over)
+        if min(row[low - 1 : high + 1]) > most:
+            return over
         before, last = last, row
     return last[-1]
 
@@ -175,8 +211,8 @@ def repaired_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
     short = tokens.where(F.col("token").endswith(".") | (~F.col("token").rlike("[aeiou]") & (F.length("token") <= 4)))
     same = tokens.join(words.select("word").distinct(), F.col("token") == F.col("word")).select("token", "word", F.lit(1.0).alias("sim"))
     long = tokens.where(~F.col("token").endswith(".") & ~F.col("token").rlike("^[0-9]+$")).select("token").distinct()
-    deleted = long.mapInPandas(_with_deletions, "token string, rest string")
-    kept = words.select(F.col("word").alias("token")).distinct().mapInPandas(_with_deletions, "token string, rest string")
+    deleted = long.mapInPandas(_with_keys(_token_keys), "token string, rest string")
+    kept = words.select(F.col("word").alias("token")).distinct().mapInPandas(_with_keys(_word_keys), "token string, rest string")
     near = (
         deleted.join(kept.withColumnRenamed("token", "word"), "rest")
         .where(F.col("token") != F.col("word")).select("token", "word").distinct()

@@ -60,3 +60,21 @@ def test_repairs_are_all_within_the_edit_distance(spark):
     }
     expected = {(t, w) for t in tokens for w in words if t == w or (set(w) & set("a") and _osa(t, w) <= cm.most_edits(len(w)))}
     assert got == expected
+
+
+def test_long_words_are_repaired_like_short_ones(spark):
+    rnd = random.Random(6)
+    words = sorted({"".join(rnd.choice("abce") for _ in range(n)) for n in (10, 62, 63, 64, 65, 66, 67, 90, 131, 400)})
+
+    def slip(w):
+        i = rnd.randrange(1, len(w) - 1)
+        return rnd.choice([w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+
+    tokens = sorted({t for w in words for _ in range(12) for t in (w, slip(w), slip(slip(w)), slip(slip(slip(w))))})
+    got = {
+        (r.token, r.word)
+        for r in cm.repaired_tokens(
+            spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(w, False) for w in words], "word string, plain boolean")
+        ).collect()
+    }
+    assert got == {(t, w) for t in tokens for w in words if abs(len(t) - len(w)) < 4 and _osa(t, w) <= cm.most_edits(len(w))}
