@@ -119,6 +119,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_matches(spark, sf_dir).select("rec_a", "rec_b").distinct()
 
 
+def _breeders(text: str) -> tuple[str, int] | None:
+    """A usable value's plain form and its number of names; None if it isn't usable. (So for each of the four fields.)"""
+    own = [b.strip() for b in text.split(" / ")]
+    return (" / ".join(map(plain, own)), len(set(map(plain, own)))) if text and all(usable(b) and breeder(b) for b in own) else None
+
+
+def _people(names: tuple) -> tuple[str, int] | None:
+    return (" / ".join(sorted(map(plain, names))), len(set(map(plain, names)))) if names and all(usable(p) and person(p) for p in names) else None
+
+
+def _channel(text: str) -> tuple[str, int] | None:
+    return (plain(text), 1) if names_channel(text) else None
+
+
+def _title(text: str) -> tuple[str, int] | None:
+    return (plain(text), 1) if usable(text) else None
+
+
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable values of the duplicate groups' members: ``(group_id, field, source, value, names, at, feed, row_id)``."""
     groups, parts = table(spark, sf_dir, "dupgroups").select("group_id", "feed", "row_id").dropna().distinct(), []
@@ -131,34 +149,30 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                own = (r.group_id, r.feed, r.row_id, r.at)
-                breeders = [b.strip() for b in r.breeding.split(" / ")] if r.breeding else []
-                if breeders and all(usable(b) and breeder(b) for b in breeders):
-                    rows.append((*own, "breeding", " / ".join(plain(b) for b in breeders), len({plain(b) for b in breeders})))
-                people = list(r.participants) if r.participants is not None else []
-                if people and all(usable(p) and person(p) for p in people):
-                    rows.append((*own, "participants", " / ".join(sorted(plain(p) for p in people)), len({plain(p) for p in people})))
-                if names_channel(r.channel):
-                    rows.append((*own, "channel", plain(r.channel), 1))
-                if usable(r.title):
-                    rows.append((*own, "title", plain(r.title), 1))
-            yield pd.DataFrame(rows, columns=["group_id", "feed", "row_id", "at", "field", "value", "names"])
+            parts = []
+            for field, col, read in (("breeding", "breeding", _breeders), ("participants", "participants", _people), ("channel", "channel", _channel), ("title", "title", _title)):
+                # each distinct value of a batch is read once
+                values = batch[col].map(lambda v: v if v is None or isinstance(v, str) else tuple(v))
+                codes, distinct = pd.factorize(values)
+                found = [read(v) for v in distinct]
+                at = [i for i, c in enumerate(codes) if c >= 0 and found[c] is not None]
+                own = batch[["group_id", "feed", "row_id", "at"]].iloc[at]
+                parts.append(own.assign(field=field, value=[found[codes[i]][0] for i in at], names=[found[codes[i]][1] for i in at]))
+            yield pd.concat(parts, ignore_index=True)
 
     schema = "group_id bigint, feed string, row_id bigint, at timestamp_ntz, field string, value string, names int"
     return reduce(DataFrame.unionByName, parts).mapInPandas(run, schema).withColumn("source", F.col("feed"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The member whose value survives, for each group and field: most names, then latest, then best supported."""
-    best = survivors(_claims(spark, sf_dir), [F.col("names"), F.col("at")], ["feed", "row_id"])
+    """The member whose value survives, for each group and field: the best supported, where most names and then the latest weigh most."""
+    best = survivors(_claims(spark, sf_dir), "names", "at", ["feed", "row_id"])
     return best.select("group_id", "field", "feed", "row_id")
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per group: each field's surviving value with its support."""
-    best = survivors(_claims(spark, sf_dir), [F.col("names"), F.col("at")], ["feed", "row_id"])
+    best = survivors(_claims(spark, sf_dir), "names", "at", ["feed", "row_id"])
     fields = ("breeding", "participants", "channel", "title")
     return best.groupBy("group_id").agg(
         *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields],
