@@ -28,17 +28,22 @@ CYRILLIC_LIKE_LATIN = dict(
 GREEK_LIKE_LATIN = dict(zip("αγικνορυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ayikvopuxABEZHIKMNOPTYX", strict=True))
 # The Greek letters drawn as the Latin one itself; the other small ones are only similar.
 GREEK_SAME_AS_LATIN = set("νοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
+# Letters of further scripts, and phonetic ones, drawn like a Latin letter (Unicode confusables, single letters only).
+OTHER_LIKE_LATIN = dict(
+    zip("օսոհցզՍՕԼᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏚᏞᏟᏢᏦᏴᏙⲟⲣⲥⲞⲢⲤⲎⲒⲔⲘⲚⲦⲬⲨⲂⲀꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴɑɡᴄᴏᴠᴡᴢꜱ",
+        "ounhgqUOLDRTiAJEWMHYGhZbSLCPKBVopcOPCHIKMNTXYBABPDTGKJCZFMNLSRVHWXYAEIOUagcovwzs", strict=True)
+)
 # Compatibility characters that are written on purpose.
 MEANT = set("ªº…´¨¸¯™℠½¼¾⅓⅔№")
 # Signs without a decomposition that only imitate an ASCII sign.
 SIGNS = {"‐": "-", "‑": "-", "−": "-", "∕": "/", "⁄": "/", "∶": ":", "ː": ":", "ꞏ": ".", "․": ".", "‚": ",", "ǃ": "!", "∣": "|", "ǀ": "|", "∗": "*", "⁎": "*"}
 # Ranges of default-ignorable code points (Unicode DerivedCoreProperties) and the byte order mark.
 IGNORABLE = (
-    r"­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯"
-    r"ㅤ︀-️﻿ﾠ￰-￸\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
+    r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f"
+    r"\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
 )
 # White space that is not U+0020 (Unicode White_Space) and the separators of ASCII.
-SPACES = r"\t\n\x0b\x0c\r\x1c-\x1f\x85   -     　"
+SPACES = r"\t\n\x0b\x0c\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Values of these characters only are consistent; every other one is looked at. (JVM-side filter; matched whole, as $ would pass over a last line end.)
 PLAIN = r"[ -~áéíóúüñçàèìòùâêîôûãõäëïöÁÉÍÓÚÜÑÇÀÈÌÒÙÂÊÎÔÛÃÕÄËÏÖ«»¿¡ªº·–—‘’“”…‹›]*"
@@ -47,6 +52,7 @@ _plain = re.compile(PLAIN)
 _spaces = re.compile(f"[{SPACES}]")
 _ignorable = re.compile(f"[{IGNORABLE}]")
 _word = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
+_other = re.compile(f"[{''.join(OTHER_LIKE_LATIN)}]")
 _DECOMPOSED = {"LATIN": {}, "CYRILLIC": CYRILLIC_LIKE_LATIN, "GREEK": GREEK_LIKE_LATIN}
 _TO_LATIN = CYRILLIC_LIKE_LATIN | GREEK_LIKE_LATIN
 _FROM_LATIN = {
@@ -110,7 +116,16 @@ def _word_script(letters: str) -> str | None:
     return "DOUBTFUL"
 
 
+def _latin_only(word: str) -> str:
+    """A word with other scripts' letters that look Latin, in Latin if it holds a letter of the basic Latin script too."""
+    if _other.search(word) and any("a" <= c.casefold() <= "z" for c in unicodedata.normalize("NFD", word)):
+        return _other.sub(lambda m: OTHER_LIKE_LATIN[m.group()], word)
+    return word
+
+
 def _one_script(text: str) -> str:
+    if _other.search(text):
+        text = _word.sub(lambda m: _latin_only(m.group()), text)
     spans = [(m.start(), m.end(), m.group()) for m in _word.finditer(text)]
     bare = [unicodedata.normalize("NFC", w) for _, _, w in spans]
     base = ["".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)) for w in bare]

@@ -45,6 +45,15 @@ def test_matches_are_found_with_confidence(spark):
     assert em.matches(df.limit(0)).count() == 0
 
 
+def test_feeds_of_any_name_match_alike(spark):
+    rows, truth = _festejos(60, seed=3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for names in ({"vadetoros": "alfa", "elmuletazo": "zeta", "onetoro": "beta"}, {"vadetoros": "vadetoros", "elmuletazo": "zeta", "onetoro": "elmuletazo"}):
+        renamed = df.replace(names, subset=["feed"])
+        found = {(r.rec_a, r.rec_b) for r in em.matches(renamed, least=0.0).collect()}
+        assert len(found & truth) / len(truth) > 0.97
+
+
 def test_close_vectors_always_share_a_key(spark):
     """Multi-index hashing is exact: fewer differing bits than chunks leave one chunk equal."""
     rnd, rows, pairs = random.Random(2), [], []
