@@ -1,7 +1,7 @@
 """What changed between full snapshots: invertible Bloom lookup tables per hash bucket.
 
 Every record of a snapshot becomes a pair of 64-bit hashes (key, compared values) that falls into three cells
-of its bucket's table. Each consecutive pair of snapshots gets one subtracted table per bucket, built by one
+of its bucket's table; a bucket's records of all snapshots lie in one partition, so the tables are built, peeled and read without another shuffle. Each consecutive pair of snapshots gets one subtracted table per bucket, built by one
 aggregation; the pairs that only one side holds are peeled out of it. Buckets that can't be peeled are
 encoded again in larger tables until all are. Recovered key hashes are classified (added, removed,
 changed) and joined back to their ids.
@@ -24,6 +24,8 @@ P1, P2, P3, P4, P5 = (
 
 #: Records of one bucket in one snapshot, on average; cells of a bucket's first table (a multiple of 3).
 ROWS_PER_BUCKET, FIRST_CELLS, GROWTH = 1024, 768, 4
+#: Rows of a counted table (snapshots, failed buckets, recovered keys: up to about 60 bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def _rotl(x: np.ndarray, by: int) -> np.ndarray:
@@ -50,10 +52,11 @@ def _cells(key: np.ndarray, digest: np.ndarray, cells: int) -> np.ndarray:
     return np.stack([xxhash_longs(key, digest, cells * 3 + i).view(np.int64) % part + i * part for i in range(3)])
 
 
-def peel(n: np.ndarray, key: np.ndarray, digest: np.ndarray, check: np.ndarray) -> tuple[list, list, bool]:
-    """Key hashes and signs of the pairs in a subtracted table, and whether it came out empty."""
+def peel(n: np.ndarray, key: np.ndarray, digest: np.ndarray, check: np.ndarray) -> tuple[list, list, list, bool]:
+    """Key hashes, digests and signs of the pairs in a subtracted table, and whether it came out empty."""
     n, key, digest, check = n.copy(), key.copy(), digest.copy(), check.copy()
     keys: list[int] = []
+    digests: list[int] = []
     signs: list[int] = []
     while True:
         at = np.flatnonzero(np.abs(n) == 1)
@@ -69,8 +72,9 @@ def peel(n: np.ndarray, key: np.ndarray, digest: np.ndarray, check: np.ndarray)
             np.bitwise_xor.at(digest, row, d)
             np.bitwise_xor.at(check, row, own)
         keys += k.tolist()
+        digests += d.tolist()
         signs += s.tolist()
-    return keys, signs, not (n.any() or key.any() or digest.any() or check.any())
+    return keys, digests, signs, not (n.any() or key.any() or digest.any() or check.any())
 
 
 def _peel_groups(cells: int):
@@ -80,12 +84,13 @@ def _peel_groups(cells: int):
         at = pdf["cell"].to_numpy()
         for col, name in zip(full, ("n", "k", "d", "c"), strict=True):
             col[at] = pdf[name].to_numpy()
-        keys, signs, whole = peel(*full)
+        keys, digests, signs, whole = peel(*full)
         if not whole:
-            return pd.DataFrame({"later": [later], "bucket": [bucket], "k": [0], "change": ["failed"]})
-        by = pd.DataFrame({"k": keys, "s": signs}, dtype=np.int64).groupby("k")["s"].agg(["min", "max"])
-        change = np.where(by["min"] != by["max"], "changed", np.where(by["max"] > 0, "added", "removed"))
-        return pd.DataFrame({"later": later, "bucket": bucket, "k": by.index.to_numpy(dtype=np.int64), "change": change})
+            return pd.DataFrame({"later": [later], "bucket": [bucket], "k": [0], "d": [0], "change": ["failed"]})
+        pairs = pd.DataFrame({"k": keys, "d": digests, "s": signs}, dtype=np.int64).sort_values(["k", "s"])
+        by = pairs.groupby("k").agg(low=("s", "min"), high=("s", "max"), d=("d", "last"))  # of a changed key the later digest
+        change = np.where(by["low"] != by["high"], "changed", np.where(by["high"] > 0, "added", "removed"))
+        return pd.DataFrame({"later": later, "bucket": bucket, "k": by.index.to_numpy(dtype=np.int64), "d": by["d"].to_numpy(), "change": change})
 
     return run
 
@@ -101,21 +106,20 @@ def snapshot_changes(
     (map them before where they mean the same). One snapshot or an empty table give no rows. Columns
     besides the named ones pass unread.
     """
-    rows = (
-        df.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull())
-        .select(
-            F.col(snapshot).alias("s"), F.col(key).alias("id"),
-            F.struct(F.col(version).alias("v"), F.col(tie).alias("t")).alias("order"),
-            F.xxhash64(*[F.struct(c.isNull().alias("n"), c.alias("c")) for c in compared]).alias("d"),
-        )
-        .groupBy("s", "id")
-        .agg(F.max_by("d", "order").alias("d"))
-        .withColumn("k", F.xxhash64("id"))
+    there = df.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull()).select(
+        F.col(snapshot).alias("s"), F.col(key).alias("id"),
+        F.struct(F.col(version).alias("v"), F.col(tie).alias("t")).alias("order"),
+        F.xxhash64(*[F.struct(c.isNull().alias("n"), c.alias("c")) for c in compared]).alias("d"),
     )
-    rows = cut(rows)
-    days = rows.groupBy("s").count()  # one row a snapshot
+    days = cut(there.groupBy("s").count())  # one row a snapshot
     largest = days.agg(F.max("count")).first()[0] or 0
     buckets = max(1, -(-largest // rows_per_bucket))
+    # deliveries are combined before they are shuffled; then all snapshots of a key share a partition, and no row moves again
+    rows = cut(
+        there.groupBy("s", "id").agg(F.max_by("d", "order").alias("d"))
+        .withColumn("bucket", F.pmod(F.xxhash64(F.xxhash64("id"), F.lit(7)), F.lit(buckets)).cast("int"))
+        .repartition("bucket")
+    )
     step = days.select("s", F.lag("s").over(Window.orderBy("s")).alias("before"), F.lead("s").over(Window.orderBy("s")).alias("after"))
     sides = F.array_compact(
         F.array(
@@ -124,10 +128,9 @@ def snapshot_changes(
         )
     )
     sided = (
-        rows.withColumn("bucket", F.pmod(F.xxhash64("k", F.lit(7)), F.lit(buckets)).cast("int"))
-        .join(step, "s")
+        rows.withColumn("k", F.xxhash64("id")).join(F.broadcast(step) if days.count() <= BROADCAST_ROWS else step, "s")
         .select("bucket", "id", "k", "d", F.inline(sides))
-    )
+    )
     found, todo, cells = [], sided, first_cells
     while True:
         part = cells // 3
@@ -137,7 +140,6 @@ def snapshot_changes(
         ]
         encoded = (
             todo.drop("id")
-            .repartition("bucket")  # one shuffle of narrow rows serves the cells, the peeling and no other
             .withColumn("own", F.xxhash64("k", "d"))
             .withColumn("cell", F.explode(F.array(*hashed)))
             .groupBy("bucket", "later", "cell")
@@ -149,19 +151,22 @@ def snapshot_changes(
         kind = df.schema[snapshot].dataType.simpleString()
         peeled = cut(
             encoded.groupBy("bucket", "later").applyInPandas(
-                _peel_groups(cells), f"later {kind}, bucket int, k bigint, change string"
+                _peel_groups(cells), f"later {kind}, bucket int, k bigint, d bigint, change string"
             )
         )
-        found.append(peeled.where("change <> 'failed'").select("later", "k", "change"))
+        found.append(peeled.where("change <> 'failed'").select("later", "k", "d", "change"))
         failed = peeled.where("change = 'failed'").select("later", "bucket")
-        if failed.isEmpty():
+        failures = failed.count()
+        if not failures:
             break
-        todo, cells = sided.join(failed, ["later", "bucket"], "left_semi"), cells * GROWTH
+        todo, cells = sided.join(F.broadcast(failed) if failures <= BROADCAST_ROWS else failed, ["later", "bucket"], "left_semi"), cells * GROWTH
     changes = found[0]
     for more in found[1:]:
         changes = changes.unionByName(more)
+    # the recovered digest must be that of the row whose id it names
     changes = changes.withColumn("sign", F.when(F.col("change") == "removed", -1).otherwise(1))
-    return sided.join(changes, ["later", "k", "sign"]).select(
+    small = changes.count() <= BROADCAST_ROWS
+    return sided.join(F.broadcast(changes) if small else changes, ["later", "k", "d", "sign"]).select(
         F.col("id").alias(key), F.col("later").alias(snapshot), "change"
     )
 
