@@ -9,7 +9,7 @@ which all files come out as one table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almagre.session import cut
@@ -26,14 +26,13 @@ def exploded(lines: DataFrame, record_id: str = "id") -> DataFrame:
     ``type`` is null for JSON null. Lines that aren't a JSON object have no fields. Keys are case-sensitive.
     """
     spark = lines.sparkSession
+    # each payload is parsed once: the parsed value is used twice above it, so the two steps aren't folded into one
     values = spark.sql(
-        """select l.feed, l.file_no, l.line_no, l.id, v.key as field, v.value as value,
-                  schema_of_variant(v.value) as kind
-           from (select feed, file_no, line_no, try_parse_json(payload) as json,
-                        try_variant_get(try_parse_json(payload), {path}, 'string') as id
-                 from {lines} where try_parse_json(payload) is not null
-                   and schema_of_variant(try_parse_json(payload)) like 'OBJECT<%') as l,
-                lateral variant_explode(l.json) as v""",
+        """select l.feed, l.file_no, l.line_no, l.id, v.key as field, schema_of_variant(v.value) as kind, cast(v.value as string) as content
+           from (select *, try_variant_get(json, {path}, 'string') as id
+                 from (select feed, file_no, line_no, try_parse_json(payload) as json from {lines})) as l,
+                lateral variant_explode(l.json) as v
+           where v.key is not null""",
         lines=lines.select("feed", "file_no", "line_no", "payload"), path=f"$.{record_id}",
     )
     kind = (
@@ -44,9 +43,7 @@ def exploded(lines: DataFrame, record_id: str = "id") -> DataFrame:
         .when(F.col("kind").startswith("OBJECT"), "object")
         .otherwise("number")
     )
-    return values.withColumn("type", kind).select(
-        "feed", "file_no", "line_no", "id", "field", "type", F.col("value").cast("string").alias("content")
-    )
+    return values.select("feed", "file_no", "line_no", "id", "field", kind.alias("type"), "content")
 
 
 def catalogue(values: DataFrame, lines: DataFrame) -> DataFrame:
@@ -173,18 +170,63 @@ def aliases(cat: DataFrame, log: DataFrame) -> DataFrame:
             return nodes.select("feed", F.col("node.field"), F.col("node.island"), F.col("to.field").alias("name"))
 
 
-def one_table(lines: DataFrame, record_id: str = "id") -> DataFrame:
-    """``(feed, file_no, line_no, name, type, value)``: every value under its first name, cast to one type.
+#: Files up to which their fields' names are broadcast (a name and a field each).
+BROADCAST_FILES = 100_000
+
+
+def _names(cat: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(feed, file_no, field, name)``: each file's fields by their first name; ``(name, type)``: the type most files have a name in."""
+    at = cut(cat.select("feed", "file_no", "field", "island", "type").join(aliases(cat, log), ["feed", "field", "island"]).select("feed", "file_no", "field", "name", "type"))
+    counts = at.groupBy("name").agg(*[F.count_if(F.col("type") == t).alias(t) for t in TYPES])
+    most = F.greatest(*TYPES)
+    types = counts.select("name", F.when(most > 0, F.coalesce(*[F.when(F.col(t) == most, t) for t in TYPES])).otherwise("string").alias("cast"))
+    return at.drop("type"), cut(types)
+
+
+def named_values(lines: DataFrame, record_id: str = "id") -> DataFrame:
+    """``(feed, file_no, line_no, name, type, value, fits)``: every value, as text, under its first name with the name's type.
 
-    The type of a name is that of most of its files' values; where a value has no form in it
-    (text as a number, say) the type of the whole name is string, so that no value is lost.
+    The type of a name is the one most of its files have it in (the first of ``TYPES`` on a tie; string if it is never anything but null).
+    ``fits`` says whether the value has a form in that type; null values have. A value that hasn't is null in ``one_table`` and stands only here.
     """
     values, cat, log = drift(lines, record_id)
-    names = aliases(cat, log)
-    at = cat.select("feed", "file_no", "field", "island").join(names, ["feed", "field", "island"]).select("feed", "file_no", "field", "name")
-    named = values.join(at, ["feed", "file_no", "field"])
-    kinds = named.where("type is not null").groupBy("feed", "name").agg(F.collect_set("type").alias("types"))
-    one = kinds.select("feed", "name", F.when(F.size("types") == 1, F.col("types")[0]).otherwise("string").alias("cast"))
-    return named.join(one, ["feed", "name"], "left").select(
-        "feed", "file_no", "line_no", "name", F.coalesce("cast", F.lit("string")).alias("type"), F.col("content").alias("value")
-    )
+    at, types = _names(cat, log)
+    number = F.col("content").rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$")
+    fits = F.when(F.col("type").isNull() | (F.col("cast") == "string"), True).when(F.col("cast") == "number", number)
+    fits = fits.when(F.col("cast") == "boolean", F.lower("content").isin("true", "false")).otherwise(F.col("type") == F.col("cast"))
+    named = values.join(at, ["feed", "file_no", "field"]).join(types, "name")
+    return named.select("feed", "file_no", "line_no", "name", F.col("cast").alias("type"), F.when(F.col("type").isNotNull(), F.col("content")).alias("value"), fits.alias("fits"))
+
+
+def one_table(lines: DataFrame, record_id: str = "id") -> DataFrame:
+    """One table of all files: ``(feed, file_no, line_no)`` and a column per name, cast to the name's type.
+
+    Each file's aliases are a map beside its lines, so a line becomes a row where it lies: no value is shuffled. Numbers are doubles, arrays are
+    of texts, objects their JSON text. Names that differ in case only get a number behind them. Values without a form in the
+    type are null (``named_values`` lists them), lines that aren't a JSON object have nulls only. The columns' names go through the driver.
+    """
+    _, cat, log = drift(lines, record_id)
+    at, types = _names(cat, log)
+    per_file = cut(at.groupBy("feed", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "field"))).alias("alias_")))
+    rows = lines.select("feed", "file_no", "line_no", F.from_json("payload", "map<string,string>").alias("json_"))
+    rows = rows.join(F.broadcast(per_file) if per_file.count() <= BROADCAST_FILES else per_file, ["feed", "file_no"], "left")
+
+    def typed(name: str, kind: str) -> Column:
+        text = F.try_element_at("json_", F.try_element_at("alias_", F.lit(name)))
+        if kind == "number":
+            return F.when(text.rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"), text.try_cast("double"))
+        if kind == "boolean":
+            return F.when(F.lower(text).isin("true", "false"), text.try_cast("boolean"))
+        if kind == "array":
+            return F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>"))
+        return F.when(text.rlike(r"^\s*\{"), text) if kind == "object" else text
+
+    taken = {"feed", "file_no", "line_no"}
+    columns = []
+    for r in types.orderBy("name").collect():
+        label, n = r["name"], 1
+        while label.lower() in taken:
+            label, n = f"{r['name']}_{n + 1}", n + 1
+        taken.add(label.lower())
+        columns.append(typed(r["name"], r["cast"]).alias(label))
+    return rows.select("feed", "file_no", "line_no", *columns)

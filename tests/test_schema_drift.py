@@ -4,7 +4,7 @@ import json
 import random
 from collections import Counter, defaultdict
 
-from almagre.operators.schema_drift import SAME_CONTENT, drift, one_table
+from almagre.operators.schema_drift import SAME_CONTENT, drift, named_values, one_table
 
 SCHEMA = "feed string, file_no int, line_no int, delivered timestamp_ntz, payload string, type string, ord int"
 
@@ -108,7 +108,28 @@ def test_bad_lines_and_empty_table(spark):
     assert ("a", 2, "removed", "x", "") in log and ("a", 2, "added", "y", "") in log
 
 
-def test_one_table_uses_first_names(spark):
+def test_values_stand_under_first_names(spark):
     files = [("a", 1, [{"id": "1", "x": "t"}]), ("a", 2, [{"id": "1", "y": "t"}]), ("a", 3, [{"id": "1", "z": "t"}]), ("a", 4, [{"id": "1", "z": 5}])]
-    got = {(r.file_no, r.name, r.type, r.value) for r in one_table(_lines(spark, files)).collect() if r.name != "id"}
-    assert got == {(1, "x", "string", "t"), (2, "x", "string", "t"), (3, "x", "string", "t"), (4, "x", "string", "5")}
+    got = {(r.file_no, r.name, r.type, r.value, r.fits) for r in named_values(_lines(spark, files)).collect() if r.name != "id"}
+    assert got == {(1, "x", "string", "t", True), (2, "x", "string", "t", True), (3, "x", "string", "t", True), (4, "x", "string", "5", True)}
+
+
+def test_one_table_is_typed(spark):
+    more = [{"id": str(i), "x": i, "who": ["p"]} for i in range(3, 8)]
+    files = [
+        ("a", 1, [{"id": "1", "x": 1, "ok": True, "who": ["p", "q"], "o": {"k": 1}}, {"id": "2", "x": 2.5, "ok": None, "who": [], "o": {}}, *more]),
+        ("a", 2, [{"id": "1", "y": 1, "ok": False, "who": "p", "o": "k"}, {"id": "2", "y": "many", "o": {}}, {"id": "9", "o": {}}, "{broken", None] + [{**m, "y": m["x"], "x": m["x"]} for m in more]),
+        ("b", 1, [{"id": "3", "X": "text"}]),
+    ]
+    for line in files[1][2][5:]:
+        del line["x"]
+    df = one_table(_lines(spark, files))
+    assert df.schema.simpleString()[7:-1].split(",")[3:] == ["X:string", "id:string", "o:string", "ok:boolean", "who:array<string>", "x_2:double"]
+    got = {(r.feed, r.file_no, r.line_no): (r.id, r.x_2, r.ok, r.who, r.o) for r in df.collect()}
+    assert len(got) == 18
+    assert [got["a", 1, i] for i in (0, 1, 2)] == [("1", 1.0, True, ["p", "q"], '{"k":1}'), ("2", 2.5, None, [], "{}"), ("3", 3.0, None, ["p"], None)]
+    assert [got["a", 2, i] for i in (0, 1, 3, 4, 5)] == [("1", 1.0, False, None, None), ("2", None, None, None, "{}"), (None,) * 5, (None,) * 5, ("3", 3.0, None, ["p"], None)]
+    assert got["b", 1, 0] == ("3", None, None, None, None)
+    unfit = {(r.name, r.value) for r in named_values(_lines(spark, files)).where("not fits").collect()}
+    assert unfit == {("x", "many"), ("who", "p"), ("o", "k")}
+    assert one_table(_lines(spark, [])).count() == 0
