@@ -163,3 +163,67 @@ def sundays(as_of: Column, n: int) -> Column:
     """The next Sundays; a Sunday itself counts."""
     first = F.next_day(F.date_sub(as_of, 1), "SUN")
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.date_add(first, i * 7))
+
+
+def published_year(day_month: Column, published: Column, late_days: int = 45) -> Column:
+    """A "d/m" in the year it was published, or the next one if that lies more than so many days before the publication."""
+    part = lambda i: F.regexp_extract(day_month, r"^(\d{1,2})/(\d{1,2})$", i)
+    same = _made(F.year(published).cast("string"), part(2), part(1))
+    later = _made((F.year(published) + 1).cast("string"), part(2), part(1))
+    return F.when(same < F.date_sub(published, late_days), later).otherwise(same)
+
+
+def year_of(col: Column, as_of: Column) -> Column:
+    """The first year of four figures in a text that isn't over; else that of ``as_of``."""
+    years = F.transform(F.regexp_extract_all(col, F.lit(r"(?<!\d)(\d{4})(?!\d)"), F.lit(1)), lambda y: y.try_cast("int"))
+    return F.coalesce(F.get(F.filter(years, lambda y: y >= F.year(as_of)), F.lit(0)), F.year(as_of))
+
+
+def dates_with_places(col: Column) -> Column:
+    """All d/m/yyyy of a text as structs (date, text, start), in order; ``start`` counts characters from 0, ``date`` is null off the calendar."""
+    at = r"\d{1,2}/\d{1,2}/\d{4}"
+    found, gaps = F.regexp_extract_all(col, F.lit(f"({at})"), F.lit(1)), F.transform(F.split(col, at), F.length)
+    total = lambda xs, n, size: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + size(x))
+    return F.transform(found, lambda d, i: F.struct(numeric_date(d).alias("date"), d.alias("text"), (total(gaps, i + 1, lambda x: x) + total(found, i, F.length)).alias("start")))
+
+
+def spoken_time(col: Column) -> Column:
+    """A time said as "comienza a las 7", "desde las 18.30" or "17h", as HH:MM; null if there is none on the clock."""
+    text = F.lower(col)
+    begins = r"(?:comienza|comenzamos|empieza|inicio|arranca|en directo|conexi[oó]n|a partir de|desde|hoy|esta tarde|esta noche|a)\s+(?:a\s+)?las?\s+([01]?\d|2[0-3])(?:[:h.]([0-5]\d))?(?!\d)"
+    short = r"(?<![\d:.])([01]?\d|2[0-3])\s?h(?:oras?)?(?![\p{L}\d])"
+    hour = F.coalesce(F.nullif(F.regexp_extract(text, begins, 1), F.lit("")), F.nullif(F.regexp_extract(text, short, 1), F.lit("")))
+    minute = F.coalesce(F.nullif(F.regexp_extract(text, begins, 2), F.lit("")), F.lit("00"))
+    return F.when(hour.isNotNull(), F.concat(F.lpad(hour, 2, "0"), F.lit(":"), minute))
+
+
+def day_gap(a: Column, b: Column) -> Column:
+    """Days between two dates as a double; infinite if one isn't known, so that no limit is met."""
+    return F.coalesce(day_distance(a, b).cast("double"), F.lit(float("inf")))
+
+
+def weekday_number(day: Column) -> Column:
+    """The day of the week, 0 for Sunday."""
+    return F.dayofweek(day) - 1
+
+
+def iso_day(day: Column) -> Column:
+    """A date as yyyy-MM-dd."""
+    return F.date_format(day, "yyyy-MM-dd")
+
+
+def duration(explicit: Column, content: Column, kind: Column) -> Column:
+    """Minutes an event lasts: as said, if that is more than 0; else by what it is. Fixed values."""
+    usual = F.when(content == "programa", 60).when(kind.rlike("(?i)recort"), 120).when(kind.rlike("(?i)tentadero|clase"), 90).otherwise(150)
+    return F.when(explicit > 0, explicit).otherwise(usual)
+
+
+def remaining_words(total: Column) -> Column:
+    """Minutes, rounded up and never below 0, as "1 día, 2 horas y 3 minutos"."""
+    whole = F.greatest(F.lit(0), F.ceil(total)).cast("bigint")
+    parts = [(F.floor(whole / 1440), "día"), (F.floor(whole % 1440 / 60), "hora"), (whole % 60, "minuto")]
+    said = F.array_compact(F.array(*[F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {w}"), F.when(n == 1, "").otherwise("s"))) for n, w in parts]))
+    most = F.size(said)
+    return F.when(most == 0, "0 minutos").when(most == 1, F.get(said, F.lit(0))).otherwise(
+        F.concat(F.array_join(F.slice(said, 1, F.greatest(most - 1, F.lit(1))), ", "), F.lit(" y "), F.get(said, most - 1))
+    )

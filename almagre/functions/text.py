@@ -88,17 +88,22 @@ def decoded_entities(col: Column) -> Column:
     for name, sign in ENTITIES.items():
         if name != "amp":
             col = F.replace(col, F.lit(f"&{name};"), F.lit(sign))
-    numeric = F.regexp_extract_all(col, F.lit(r"&#(\d{1,7});"), F.lit(1))
+    numeric = F.regexp_extract_all(col, F.lit(r"(?i)&#(\d+|x[0-9a-f]+);"), F.lit(1))
     col = F.aggregate(
         F.array_distinct(numeric), col,
-        lambda text, n: F.replace(text, F.concat(F.lit("&#"), n, F.lit(";")), _character(n.cast("int"))),
+        lambda text, n: F.replace(text, F.concat(F.lit("&#"), n, F.lit(";")), _character(n)),
     )
     return F.replace(col, F.lit("&amp;"), F.lit("&"))
 
 
-def _character(code: Column) -> Column:
-    """The character of a code point, through UTF-32."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def _character(number: Column) -> Column:
+    """The character of a decimal or ("x…") hexadecimal number, through UTF-32; U+FFFD where Unicode has none."""
+    hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
+    digits = F.regexp_replace(F.regexp_replace(number, "^[xX]", ""), "^0+(?=.)", "")
+    # seven decimal and six hexadecimal figures hold all of Unicode
+    code = F.when(hexadecimal, F.when(F.length(digits) <= 6, F.conv(digits, 16, 10).try_cast("int"))).otherwise(F.when(F.length(digits) <= 7, digits.try_cast("int")))
+    none = code.isNull() | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | (code == 0)
+    return F.when(none, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(F.when(none, 32).otherwise(code)), 8, "0")), "UTF-32"))
 
 
 def html_text(col: Column) -> Column:

@@ -27,16 +27,19 @@ def close_pairs(df: DataFrame, key: list[str], order: str, value: str, most: flo
 def within_km(points: DataFrame, centres: DataFrame, km: float) -> DataFrame:
     """Points and centres ``(…, lat, lon)`` not further apart than ``km``, with the distance.
 
-    Both are put in cells of ``km`` height; a point meets the centres of its cell and those around. The width of a cell in
-    degrees of longitude grows with its latitude, so no pair is missed (up to 85 degrees).
+    Both are put in cells of ``km`` height; a point meets the centres of its cell and those around. The number of cells around the earth
+    falls with the latitude of the band, and the last one borders on the first, so no pair is missed (up to 85 degrees).
     """
     step = km / KM_PER_DEGREE
     band = F.floor(F.col("lat") / step)
-    width = lambda b: step / F.cos(F.radians(F.least(F.lit(85.0), F.greatest(F.abs(b * step), F.abs((b + 1) * step)) + step)))
-    points = points.withColumn("band", band).withColumn("cell", F.floor(F.col("lon") / width(F.col("band"))))
+    # so many whole cells around the earth that each is at least km wide anywhere in the band
+    widest = lambda b: F.cos(F.radians(F.least(F.lit(85.0), F.greatest(F.abs(b * step), F.abs((b + 1) * step)) + step)))
+    around = lambda b: F.greatest(F.lit(1), F.floor(widest(b) * 360 / step))
+    cell = lambda b: F.pmod(F.floor((F.col("lon") + 180) / 360 * around(b)), around(b))
+    points = points.withColumn("band", band).withColumn("cell", cell(F.col("band")))
     near = (
         centres.withColumn("band", F.explode(F.array(*[band + i for i in (-1, 0, 1)])))
-        .withColumn("cell", F.explode(F.array(*[F.floor(F.col("lon") / width(F.col("band"))) + i for i in (-1, 0, 1)])))
+        .withColumn("cell", F.explode(F.array_distinct(F.array(*[F.pmod(cell(F.col("band")) + i, around(F.col("band"))) for i in (-1, 0, 1)]))))
         .withColumnsRenamed({"lat": "lat_c", "lon": "lon_c"})
     )
     distance = haversine(F.col("lat"), F.col("lon"), F.col("lat_c"), F.col("lon_c"))

@@ -11,7 +11,7 @@ from almagre.functions import dates, text
 from almagre.functions.similarity import filled_score
 from almagre.operators import dedupe, extract, joins, quality, resolution
 from almagre.sources import readers, sinks
-from almagre.session import cut, table
+from almagre.session import cut, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -456,13 +456,11 @@ def h02_revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, event_id, ts, event_type from (select *, row_number() over (partition by user_id order by ts desc) as n from events) where n = 1")
 def t01_folded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user, folded from a stream of files into a retained table."""
-    import tempfile
     import uuid
 
     from almagre.streaming.feeds import deliveries, fold_latest
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="almagre-stream-")
-    place = f"{root}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events")
     whole = [p.name for p in _folders(spark, f"{sf_dir}/events.parquet")] != ["events.parquet"]  # a folder of files, or one file
     path, only = (f"{sf_dir}/events.parquet", "*") if whole else (sf_dir, "events.parquet")

@@ -18,6 +18,7 @@ def build(app: str = "almagre", cpus: str | None = None, **conf: str) -> SparkSe
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -26,14 +27,24 @@ def build(app: str = "almagre", cpus: str | None = None, **conf: str) -> SparkSe
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; only a local session without one gets its own."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="almagre-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
 
-    The folder is the cluster's shared one; only where none is named (as in tests) one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="almagre-checkpoint-"))
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder. (``spark.cleaner.referenceTracking.cleanCheckpoints`` removes those no longer used.)"""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,19 +46,31 @@ def optional(spark: SparkSession, path: str, schema: str, fmt: str = "json") ->
 
 
 def isolated(spark: SparkSession, sources: dict[str, str], schema: str = ENVELOPE) -> tuple[DataFrame, DataFrame]:
-    """The documents of all sources that can be read, and ``(source, ok, error)`` of each: one failing doesn't stop the rest."""
-    found, health = [], []
+    """The documents of all sources, and ``(source, ok, events, fetched_at, error)`` of each: one that is missing or broken doesn't stop the rest.
+
+    A source is ok if it is there and none of its files is broken; a broken file is a document of nulls (``corrupt`` holds its text) and has no events. ``events`` that aren't a list are none.
+    """
+    parts, health = [], []
     for name, path in sources.items():
         try:
-            df = json_documents(spark, path, schema).withColumn("source_key", F.lit(name))
-            found.append(df)
-            health.append((name, True, None))
+            parts.append(json_documents(spark, path, schema).withColumn("source_key", F.lit(name)))
         except AnalysisException as error:
-            health.append((name, False, str(error).split("\n")[0][:200]))
+            health.append((name, False, 0, None, str(error).split("\n")[0][:200]))
     empty = spark.createDataFrame([], f"{schema}, corrupt STRING, file STRING, source_key STRING")
-    for df in found:
-        empty = empty.unionByName(df)
-    return empty, spark.createDataFrame(health, "source STRING, ok BOOLEAN, error STRING")
+    documents = reduce(DataFrame.unionByName, parts, empty)
+    broken = F.max(F.when(F.col("corrupt").isNotNull(), F.concat(F.lit("broken: "), "file")))
+    read = documents.groupBy(F.col("source_key").alias("source")).agg(
+        broken.isNull().alias("ok"), F.sum(F.coalesce(F.size("events"), F.lit(0))).alias("events"), F.max(F.coalesce("fetchedAt", "updatedAt")).alias("fetched_at"), broken.alias("error")
+    )
+    # one row a source
+    rows = [(r["source"], r["ok"], r["events"], r["fetched_at"], r["error"]) for r in read.collect()]
+    return documents, spark.createDataFrame(rows + health, "source STRING, ok BOOLEAN, events BIGINT, fetched_at STRING, error STRING")
+
+
+def all_sources(parts: dict[str, DataFrame], at: tuple = ("fetchedAt", "updatedAt")) -> DataFrame:
+    """Tables of any schema as one, by column names, with ``feed`` and ``at``: the first of the columns of delivery a table has; missing columns are null."""
+    out = [df.withColumns({"feed": F.lit(name), "at": F.coalesce(*[F.col(c) for c in at if c in df.columns], F.lit(None))}) for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
 def first_filled(*frames: DataFrame) -> DataFrame:

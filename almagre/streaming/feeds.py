@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from almagre.operators.dedupe import keep_last
+from almagre.sources.sinks import resynchronised
 
 
 def deliveries(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1, only: str = "*") -> DataFrame:
@@ -21,7 +22,8 @@ def deliveries(spark: SparkSession, path: str, schema: str, files_per_trigger: i
 def fold_latest(stream: DataFrame, key: list[str], version: str, path: str, checkpoint: str):
     """Keeps the latest row of each key in a table: each batch is merged with the table and written beside it.
 
-    Tables are written under a number that rises with the batch, so a repeated batch gives the same table.
+    Tables are written under a number that rises with the batch, so a repeated batch gives the same table; of the older ones only
+    the one before is kept, from which a repeated batch starts again.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -30,6 +32,9 @@ def fold_latest(stream: DataFrame, key: list[str], version: str, path: str, chec
         if number:
             rows = rows.unionByName(spark.read.parquet(f"{path}/{number - 1}"))
         keep_last(rows.withColumn("v_", F.unix_micros(F.col(version).cast("timestamp"))), key, "v_").drop("v_").write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
@@ -69,3 +74,31 @@ def changes(stream: DataFrame, key: str, value: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(
         step, f"{key} string, before string, after string", "last string", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def timely(stream: DataFrame, date: str, as_of: str, before: int = 7, after: int = 180) -> DataFrame:
+    """Rows whose own date lies around ``as_of``; unlike a watermark this doesn't depend on what came before."""
+    day = F.try_to_date(F.col(date), "yyyy-MM-dd")
+    return stream.where(day.between(F.date_sub(F.lit(as_of).cast("date"), before), F.date_add(F.lit(as_of).cast("date"), after)))
+
+
+def refreshed(stream: DataFrame, act, checkpoint: str, seconds: int = 30):
+    """Calls ``act(batch, number)`` with what has come every so many seconds."""
+    return stream.writeStream.foreachBatch(act).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint)
+
+
+def resynchronising(stream: DataFrame, key: str, path: str, checkpoint: str):
+    """Each batch is a whole set of identifiers: writes ``(key, action)`` to ``path/actions/<batch>``, from the set before to this one.
+
+    The sets stand under ``path/sets/<batch>``; a repeated batch compares with the same set and writes the same actions.
+    """
+
+    def act(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(key).distinct()
+        new.write.mode("overwrite").parquet(f"{path}/sets/{number}")
+        now = spark.read.parquet(f"{path}/sets/{number}")
+        before = spark.read.parquet(f"{path}/sets/{number - 1}") if number else now.limit(0)
+        resynchronised(before, now, key).write.mode("overwrite").parquet(f"{path}/actions/{number}")
+
+    return stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint)

@@ -100,8 +100,7 @@ def test_within_km_against_brute_force(spark):
         return 2 * 6371 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
 
     got = {(r.p, r.c) for r in joins.within_km(spark.createDataFrame(points, "p int, lat double, lon double"), spark.createDataFrame(centres, "c int, lat double, lon double"), km).collect()}
-    # pairs across the date line are out of scope
-    assert got == {(p[0], c[0]) for p in points for c in centres if distance(p, c) <= km and abs(p[2] - c[2]) < 180}
+    assert got == {(p[0], c[0]) for p in points for c in centres if distance(p, c) <= km}
 
 
 def test_nearest_value(spark):
