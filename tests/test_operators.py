@@ -194,7 +194,7 @@ def test_sources_and_sinks(spark, tmp_path, rows):
     (tmp_path / "a.json").write_text(json.dumps(good))
     (tmp_path / "b.json").write_text("{broken")
     found, health = readers.isolated(spark, {"a": str(tmp_path / "a.json"), "b": str(tmp_path / "b.json"), "c": str(tmp_path / "none.json")})
-    assert rows(health, "source", "ok") == [("a", True), ("b", True), ("c", False)]
+    assert rows(health, "source", "ok") == [("a", True), ("b", False), ("c", False)]
     assert rows(readers.events_of(found.where("corrupt is null")), "id", "position", "fetched_at") == [("1", 0, "2026-01-01"), ("2", 1, "2026-01-01")]
     assert readers.optional(spark, str(tmp_path / "none.json"), "a string").count() == 0
     (tmp_path / "x.xml").write_text("<r><item><title>t</title></item><item><title>u</title></item></r>")
