@@ -1,7 +1,8 @@
 """Subject area of each document: term-weighted sentences, truncated SVD, refined seed centroids.
 
-The sentences of all documents give the vocabulary (words and word pairs in a minimal share of them) with their
-inverse frequencies, and the truncated SVD by block power iteration over the table of distinct sentence
+Each text is read once: its sentences' words become numbers, beside the document's id; all that follows works on these. The
+sentences of all documents give the vocabulary (words and word pairs in a minimal share of them, and all words of the labelled
+sample) with their inverse frequencies, and the truncated SVD by block power iteration over the table of distinct sentence
 forms. Sentences of a bounded sample of labelled documents and the subjects' descriptions seed
 centroids in that space, which are refined iteratively and get the subjects of the documents they
 come from. Each sentence then goes to its nearest centroids by cosine similarity, and a document to the subjects of at
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,13 @@ from almagre.session import cut
 
 #: Dimensions; passes of the power iteration; centroids; a document's share of sentences for a subject.
 RANK, POWER, CENTROIDS, SHARE = 200, 3, 1200, 0.25
-#: Least share of the sentences a term stands in, and the largest vocabulary that may follow from it.
-TERM_SHARE, MOST_TERMS = 1e-4, 60_000
+#: Least share of the sentences a term stands in. As a sentence has so many terms (about 23 here), no more than that over the share can
+#: reach it, whatever the corpus' size. Words of the labelled sample and of the descriptions need no share, but a second sentence.
+TERM_SHARE = 2.5e-4
 #: Bounds of the labelled sample the centroids are fitted on: documents and characters, both expected values.
 LABELLED_DOCS, LABELLED_CHARS = 10_000, 20_000_000
+#: Subjects with their descriptions; they are columns of the model.
+MOST_SUBJECTS = 10_000
 #: Letters up to which a small word may link capitalised ones in title case ("de la").
 LINK = 3
 #: Entries a task gathers before it passes them on.
@@ -66,34 +71,90 @@ def terms(sentence: str, memo: dict[str, str]) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
+def _numbers(text: str | None, memo: dict[str, int]) -> tuple[list[int], list[int]]:
+    """The words of a text's sentences as 32-bit hashes, by the rule of ``terms``, and where each sentence ends."""
+    words: list[int] = []
+    ends: list[int] = []
+    for s in sentences(text):
+        found = _word.findall(s)
+        names = any(len(w) > LINK and w[0].islower() for w in found[1:])
+        for k, w in enumerate(found):
+            if k == 0 or not names or not w[0].isupper():
+                n = memo.get(w)
+                if n is None:
+                    if len(memo) > FLUSH:
+                        memo.clear()
+                    n = memo[w] = 0 if w.isdigit() else xxhash.xxh32_intdigest(_fold(w)) or 1
+                if n:
+                    words.append(n)
+        ends.append(len(words))
+    return words, ends
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """``(doc_id, chars, words, ends)``: each text's words as numbers (uint32) and its sentences' ends (int32)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, int] = {}
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                words, ends = _numbers(text, memo)
+                rows.append((doc, len(text), np.array(words, dtype=np.uint32).tobytes(), np.array(ends, dtype=np.int32).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "chars", "words", "ends"])
+
+    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chars int, words binary, ends binary")
+
+
+def _terms_of(words: list[bytes], ends: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of each sentence of some documents: (sentence, term), in order of term; and how many sentences each document has.
+
+    A word is its number, a pair of neighbours the first one's number before the second one's: below and from 2**32.
+    """
+    parts = [np.frombuffer(w, dtype=np.uint32) for w in words]
+    borders = [np.frombuffer(e, dtype=np.int32) for e in ends]
+    per_doc = np.array([len(e) for e in borders], dtype=np.int64)
+    sizes = np.concatenate([np.diff(e, prepend=np.int32(0)) for e in borders]) if len(borders) else np.zeros(0, dtype=np.int32)
+    word = (np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)).astype(np.int64)
+    sentence = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+    pair = np.flatnonzero(sentence[1:] == sentence[:-1])
+    # (unsigned pairs as signed numbers: the order doesn't matter)
+    term = np.concatenate([word, (word[pair].astype(np.uint64) << np.uint64(32) | word[pair + 1].astype(np.uint64)).view(np.int64)])
+    at = np.concatenate([sentence, sentence[pair]])
+    order = np.lexsort((at, term))
+    term, at = term[order], at[order]
+    new = np.ones(len(term), dtype=bool)
+    new[1:] = (term[1:] != term[:-1]) | (at[1:] != at[:-1])
+    return at[new], term[new], per_doc
+
+
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task: how many sentences hold each term; the empty term counts the sentences, None their terms."""
-    counts: Counter = Counter()
-    memo: dict[str, str] = {}
-    flat = lambda: pd.DataFrame(list(counts.items()), columns=["term", "n"])
+    """Per batch: how many sentences hold each term; term 0 counts the sentences."""
     for batch in batches:
-        for text in batch["text"]:
-            for s in sentences(text):
-                own = set(terms(s, memo))
-                counts.update(own)
-                counts[""] += 1
-                counts["\x00"] += len(own)
-        if len(counts) > FLUSH:
-            yield flat()
-            counts.clear()
-    yield flat()
+        _, term, per_doc = _terms_of(batch["words"].tolist(), batch["ends"].tolist())
+        found, n = np.unique(term, return_counts=True)
+        yield pd.DataFrame({"term": np.concatenate([[0], found]), "n": np.concatenate([[per_doc.sum()], n])})
+
+
+def _forms_of(words: list[bytes], ends: list[bytes], known: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The form of each sentence, the numbers of its vocabulary terms in order; and how many sentences each document has."""
+    at, term, per_doc = _terms_of(words, ends)
+    place = np.minimum(np.searchsorted(known, term), len(known) - 1)
+    there = known[place] == term
+    at, place = at[there], place[there].astype(np.int32)
+    order = np.argsort(at, kind="stable")  # terms are in order already, as the vocabulary is
+    flat, begin = place[order].tobytes(), np.searchsorted(at[order], np.arange(per_doc.sum() + 1)) * 4
+    return [flat[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], per_doc
 
 
 def _forms(vocabulary):
-    """Per task: each distinct set of vocabulary terms with its number of sentences."""
+    """Per task: each distinct form with its number of sentences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts, memo = vocabulary.value, Counter(), {}
+        known, counts = vocabulary.value, Counter()
         flat = lambda: pd.DataFrame(list(counts.items()), columns=["form", "n"])
         for batch in batches:
-            for text in batch["text"]:
-                for s in sentences(text):
-                    counts[_form(s, known, memo)] += 1
+            counts.update(_forms_of(batch["words"].tolist(), batch["ends"].tolist(), known)[0])
             if len(counts) > FLUSH:
                 yield flat()
                 counts.clear()
@@ -102,10 +163,6 @@ def _forms(vocabulary):
     return run
 
 
-def _form(sentence: str, known: dict[str, int], memo: dict[str, str]) -> bytes:
-    return np.unique(np.array([i for t in terms(sentence, memo) if (i := known.get(t)) is not None], dtype=np.int32)).tobytes()
-
-
 #: Sentence forms multiplied at a time: their entries by the rank must fit the cache's order of magnitude.
 AT_ONCE = 2000
 
@@ -121,7 +178,7 @@ class Space:
         self.row = np.repeat(np.arange(self.rows), np.diff(self.ends))
         weight = idf[self.ids]
         length = np.sqrt(np.bincount(self.row, weight**2, minlength=self.rows))
-        self.weight = weight / np.maximum(length[self.row], 1e-12)
+        self.weight = (weight / np.maximum(length[self.row], 1e-12)).astype(np.float32)
 
     def _pieces(self) -> Iterator[tuple[int, int, slice]]:
         for a in range(0, self.rows, AT_ONCE):
@@ -129,7 +186,7 @@ class Space:
             yield a, b, slice(int(self.ends[a]), int(self.ends[b]))
 
     def times(self, basis: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.rows, basis.shape[1]))
+        out = np.zeros((self.rows, basis.shape[1]), dtype=basis.dtype)
         for a, b, at in self._pieces():
             starts = self.ends[a:b] - at.start
             filled = np.diff(self.ends[a : b + 1]) > 0
@@ -158,8 +215,12 @@ class Space:
 BLOCK = 512
 
 
+#: Parts of a block that are added up in one call.
+FAN_IN = 32
+
+
 def _power_step(idf, basis):
-    """Per task: its share of X'(X Q), in blocks of terms, weighted by each form's sentences."""
+    """Per task: its share of X'(X Q), in blocks of terms, weighted by each form's sentences; blocks that stay 0 aren't passed on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, q = idf.value, basis.value
@@ -169,29 +230,41 @@ def _power_step(idf, basis):
                 part = batch.iloc[at : at + 20_000]
                 x = Space(part["form"].tolist(), weights)
                 x.add_transposed_times(total, x.times(q) * part["n"].to_numpy()[:, None])
-        blocks = range(0, len(weights), BLOCK)
-        yield pd.DataFrame({"block": [b // BLOCK for b in blocks], "part": [total[b : b + BLOCK].tobytes() for b in blocks]})
+        blocks = [b for b in range(0, len(weights), BLOCK) if total[b : b + BLOCK].any()]
+        yield pd.DataFrame({"block": [b // BLOCK for b in blocks], "part": [total[b : b + BLOCK].astype(np.float32).tobytes() for b in blocks]})
 
     return run
 
 
-def _sum_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(p, dtype=np.float64) for p in pdf["part"]], axis=0)
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [total.tobytes()]})
+def _sum_parts(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(len(pdf["part"].iloc[0]) // 4)
+    for p in pdf["part"]:
+        total += np.frombuffer(p, dtype=np.float32)
+    return pd.DataFrame({"block": [group[0]], "part": [total.astype(np.float32).tobytes()]})
 
 
 def svd_basis(forms: DataFrame, idf: np.ndarray, rank: int, passes: int) -> np.ndarray:
-    """The right singular vectors of the weighted forms, terms by rank, by block power iteration."""
+    """The right singular vectors of the weighted forms, terms by rank, by block power iteration.
+
+    The tasks' products are added up by a tree: no call sees more than about FAN_IN parts of a block, however many tasks there are.
+    """
     sc = forms.sparkSession.sparkContext
     rank = min(rank, len(idf))
-    q = np.linalg.qr(np.random.default_rng(10).normal(size=(len(idf), rank)))[0]
-    weights = sc.broadcast(idf)
+    q = np.linalg.qr(np.random.default_rng(10).normal(size=(len(idf), rank)))[0].astype(np.float32)
+    weights, tasks = sc.broadcast(idf), forms.rdd.getNumPartitions()
     for _ in range(passes):
         shared = sc.broadcast(q)
-        parts = forms.mapInPandas(_power_step(weights, shared), "block int, part binary")
-        summed = parts.groupBy("block").applyInPandas(_sum_blocks, "block int, part binary").collect()
-        product = np.concatenate([np.frombuffer(r["part"], dtype=np.float64) for r in sorted(summed, key=lambda r: r["block"])])
-        q = np.linalg.qr(product.reshape(len(idf), rank))[0]
+        parts, left = forms.mapInPandas(_power_step(weights, shared), "block int, part binary"), tasks
+        while left > FAN_IN:
+            left = -(-left // FAN_IN)
+            slot = F.pmod(F.spark_partition_id() if left * FAN_IN >= tasks else F.xxhash64("part"), F.lit(left)).alias("slot")
+            parts = parts.select("block", "part", slot).groupBy("block", "slot").applyInPandas(_sum_parts, "block int, part binary")
+        summed = parts.groupBy("block").applyInPandas(_sum_parts, "block int, part binary").toArrow()
+        product = np.zeros((len(idf), rank), dtype=np.float32)
+        for block, part in zip(summed["block"].to_pylist(), summed["part"], strict=True):
+            at = block * BLOCK
+            product[at : at + BLOCK] = np.frombuffer(part.as_buffer(), dtype=np.float32).reshape(-1, rank)
+        q = np.linalg.qr(product)[0]
         shared.unpersist()
     return q
 
@@ -231,6 +304,18 @@ def _nearest(y: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(y[i : i + 5000] @ c.T).argmax(axis=1) for i in range(0, len(y), 5000)]) if len(y) else np.zeros(0, int)
 
 
+def _sharpened(x: np.ndarray) -> np.ndarray:
+    """``x ** SHARP`` by squaring."""
+    out, power, n = None, x, SHARP
+    while n:
+        if n & 1:
+            out = power if out is None else out * power
+        n >>= 1
+        if n:
+            power = power * power
+    return out
+
+
 def _assign(forms: list[bytes], model: dict) -> np.ndarray:
     """The subject of each form, or the number of subjects for none."""
     none = model["votes"].shape[1] - 1
@@ -240,24 +325,21 @@ def _assign(forms: list[bytes], model: dict) -> np.ndarray:
         near = np.maximum(y @ model["centroids"].T, 0)
         top = near.max(axis=1)
         with np.errstate(under="ignore"):
-            vote = ((near / np.maximum(top, 1e-12)[:, None]) ** SHARP) @ model["votes"]
+            vote = _sharpened(near / np.maximum(top, 1e-12)[:, None]) @ model["votes"]
         out[at : at + 5000] = np.where(top > 0.2, vote.argmax(axis=1), none)
     return out
 
 
 def _classify(model, names: list[str], share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, memo, done = model.value, {}, {}
+        m, done = model.value, {}
         for batch in batches:
-            rows, docs, numbers = [], [], []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                own = [_form(s, m["known"], memo) for s in sentences(text)]
-                rows += own
-                docs += [len(numbers)] * len(own)
-                numbers.append(doc)
+            numbers = batch["doc_id"].tolist()
+            rows, per_doc = _forms_of(batch["words"].tolist(), batch["ends"].tolist(), m["known"])
+            docs = np.repeat(np.arange(len(numbers)), per_doc)
             new = list(dict.fromkeys(f for f in rows if f not in done))
             done.update(zip(new, _assign(new, m).tolist(), strict=True))
-            at = np.array(docs, dtype=np.int64)
+            at = docs
             subject = np.array([done[f] for f in rows], dtype=np.int64)
             if len(done) > FLUSH:
                 done.clear()
@@ -286,68 +368,76 @@ def subjects_of(
     spark = documents.sparkSession
     sc = spark.sparkContext
     schema = "doc_id bigint, subject string, sentences bigint, of_sentences bigint"
-    names = sorted({r["subject"] for r in subjects.where("subject is not null").select("subject").limit(10_001).collect()})
-    if len(names) > 10_000:
-        raise ValueError("more than 10,000 subjects")
-    docs = documents.select("doc_id", "text").where("text is not null and doc_id is not null")
-
-    counts = cut(docs.mapInPandas(_count_terms, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")))
-    totals = {r["term"]: r["n"] for r in counts.where(F.col("term").isin("", "\x00")).collect()}
-    n = totals.get("", 0)
+    described = subjects.where("subject is not null").select("subject", "about").distinct().limit(MOST_SUBJECTS + 1).collect()
+    if len(described) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects and descriptions")
+    names = sorted({r["subject"] for r in described})
+    docs = cut(numbered(documents.where("text is not null and doc_id is not null")))
+
+    # the labelled sample: whole documents, chosen by a hash of their id
+    by_doc = cut(labels.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("own")))
+    size = docs.select("doc_id", "chars").join(by_doc.select("doc_id"), "doc_id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).first()
+    part = min(1.0, labelled_docs / max(1, size["n"]), labelled_chars / max(1, size["chars"] or 1))
+    chosen_docs = by_doc.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20))
+    sample = docs.join(F.broadcast(chosen_docs), "doc_id")  # about labelled_docs rows
+
+    counts = cut(docs.select("words", "ends").mapInPandas(_count_terms, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")))
+    n = counts.where("term = 0").agg(F.sum("n")).first()[0] or 0
     if not n or not names:
         return spark.createDataFrame([], schema)
-    # a sentence has so many terms that at most terms / least share of them can reach the share: the vocabulary's bound
-    least = max(2.0, n * TERM_SHARE, totals["\x00"] / MOST_TERMS)
-    chosen = counts.where((F.col("n") >= least) & ~F.col("term").isin("", "\x00")).orderBy("term").collect()
-    known = {r["term"]: i for i, r in enumerate(chosen)}
-    idf = np.log(n / np.array([r["n"] for r in chosen], dtype=np.float64)) if chosen else np.zeros(0)
-    if not known:
+    memo: dict[str, int] = {}
+    told = [(_numbers(r["about"], memo), r["subject"]) for r in described if r["about"]]
+    of_sample = sample.select("words").mapInPandas(_distinct_words, "term bigint").distinct()
+    own = of_sample.unionByName(spark.createDataFrame([(w,) for (ws, _), _ in told for w in ws], "term bigint")).distinct()
+    often = counts.where((F.col("n") >= max(2.0, n * TERM_SHARE)) & (F.col("term") != 0))
+    rare = counts.where((F.col("n") >= 2) & (F.col("n") < n * TERM_SHARE)).join(F.broadcast(own), "term")  # at most the sample's words
+    chosen = often.unionByName(rare.select("term", "n")).toArrow()
+    order = np.argsort(chosen["term"].to_numpy())
+    known, idf = chosen["term"].to_numpy()[order], np.log(n / chosen["n"].to_numpy()[order].astype(np.float64))
+    if not len(known):
         return spark.createDataFrame([], schema)
     vocabulary = sc.broadcast(known)
 
-    forms = cut(docs.mapInPandas(_forms(vocabulary), "form binary, n bigint").groupBy("form").agg(F.sum("n").alias("n")))
+    forms = cut(docs.select("words", "ends").mapInPandas(_forms(vocabulary), "form binary, n bigint").groupBy("form").agg(F.sum("n").alias("n")))
     basis = svd_basis(forms, idf, rank, POWER)
 
-    # the labelled sample: whole documents, chosen by a hash of their id
-    by_doc = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("own"))
-    size = (
-        docs.select("doc_id", F.length("text").alias("chars")).join(by_doc, "doc_id")
-        .agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).first()
-    )
-    part = min(1.0, labelled_docs / max(1, size["n"]), labelled_chars / max(1, size["chars"] or 1))
-    chosen_docs = by_doc.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20))
-    sample = docs.join(F.broadcast(chosen_docs), "doc_id")  # about labelled_docs rows
-
     def labelled_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, str] = {}
         for batch in batches:
-            rows = []
-            for text, own in zip(batch["text"], batch["own"], strict=True):
-                found = Counter(_form(s, vocabulary.value, memo) for s in sentences(text))
-                weight = 1 / max(1, sum(found.values())) ** 0.5
-                rows += [(f, "\x00".join(sorted(own)), k * weight) for f, k in found.items()]
-            yield pd.DataFrame(rows, columns=["form", "own", "w"])
+            found, per_doc = _forms_of(batch["words"].tolist(), batch["ends"].tolist(), vocabulary.value)
+            weights = np.repeat(1 / np.maximum(1, per_doc) ** 0.5, per_doc)
+            of = np.repeat(["\x00".join(o) for o in batch["own"]], per_doc) if len(batch) else []
+            yield pd.DataFrame({"form": found, "own": of, "w": weights})
 
     fitted = (
-        sample.select("text", "own").mapInPandas(labelled_forms, "form binary, own string, w double")
-        .groupBy("form", "own").agg(F.sum("w").alias("w")).collect()
+        sample.select("words", "ends", "own").mapInPandas(labelled_forms, "form binary, own string, w double")
+        .groupBy("form", "own").agg(F.sum("w").alias("w")).toArrow()
     )
     at = {s: i for i, s in enumerate(names)}
     seen: dict[bytes, np.ndarray] = {}
-    about = subjects.where("about is not null").collect()
-    for form, own, w in [(r["form"], r["own"].split("\x00"), r["w"]) for r in fitted] + [
-        (_form(r["about"], known, {}), [r["subject"]], 1.0) for r in about
-    ]:
-        row = seen.setdefault(bytes(form), np.zeros(len(names) + 1))
+    rows = list(zip(fitted["form"].to_pylist(), fitted["own"].to_pylist(), fitted["w"].to_pylist(), strict=True))
+    for (words, _), subject in told:
+        # a description is one sentence
+        whole = np.array(words, dtype=np.uint32).tobytes(), np.array([len(words)], dtype=np.int32).tobytes()
+        rows.append((_forms_of([whole[0]], [whole[1]], known)[0][0], subject, 1.0))
+    for form, of, w in rows:
+        if not form:
+            continue
+        row = seen.setdefault(form, np.zeros(len(names) + 1, dtype=np.float32))
         row[-1] += w
-        for s in own:
+        for s in of.split("\x00"):
             if s in at:
                 row[at[s]] += w
-    keys = sorted(k for k in seen if k)
+    keys = sorted(seen)
     if not keys:
         return spark.createDataFrame([], schema)
     mass = np.array([seen[k] for k in keys])
     y = Space(keys, idf).embedded(basis)
     c, votes = refined_centroids(y, mass[:, -1], mass[:, :-1])
-    model = sc.broadcast({"known": known, "idf": idf, "basis": basis, "centroids": c, "votes": votes})
-    return docs.mapInPandas(_classify(model, names, share), schema)
+    model = sc.broadcast({"known": known, "idf": idf, "basis": basis, "centroids": c.astype(np.float32), "votes": votes.astype(np.float32)})
+    return docs.select("doc_id", "words", "ends").mapInPandas(_classify(model, names, share), schema)
+
+
+def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        words = [np.frombuffer(w, dtype=np.uint32) for w in batch["words"]]
+        yield pd.DataFrame({"term": np.unique(np.concatenate(words)).astype(np.int64) if words else np.zeros(0, dtype=np.int64)})
