@@ -299,7 +299,9 @@ def mapped(values: DataFrame, refs: DataFrame, rules: dict[str, Rules]) -> DataF
         typed.join(sims, "token").join(index, ["kind", "word"]).join(size, ["kind", "value", "seg"])
         .withColumn("group_no", F.pmod(F.xxhash64("value"), F.lit(groups)))
     )
-    best = cut(hits.groupBy("group_no").applyInPandas(_best_entries(rules), "kind string, value string, ref_id bigint"))
+    # a fixed number of partitions, as the groups cost more time than their bytes say
+    tasks = min(groups, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    best = cut(hits.repartition(tasks, "group_no").groupBy("group_no").applyInPandas(_best_entries(rules), "kind string, value string, ref_id bigint"))
     none = distinct.join(best, ["kind", "value"], "left_anti").select("kind", "value", F.lit(0).cast("bigint").alias("ref_id"))
     return best.unionByName(none)
 

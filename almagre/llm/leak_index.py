@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almagre.session import cut
+
 #: Consecutive words that make a leak; words of one shard's index; distance of sampled suffix positions.
 WINDOW, SHARD_WORDS, SAMPLE = 12, 1 << 19, 16
 #: Characters of evaluation text searched in one pass over the corpus (it is sent to every task); more go in further passes.
@@ -223,7 +225,13 @@ def leaked_spans(documents: DataFrame, items: DataFrame, pass_chars: int = PASS_
             parts.append(spark.createDataFrame([], schema))
             continue
         sc = spark.sparkContext
-        parts.append(documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(_search(sc.broadcast(plan), sc.broadcast(known)), schema))
+        shared = sc.broadcast(plan), sc.broadcast(known)
+        found = documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(_search(*shared), schema)
+        if passes > 1:  # one block of items at a time lies on the driver and in the tasks
+            found = cut(found)
+            for b in shared:
+                b.unpersist()
+        parts.append(found)
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)

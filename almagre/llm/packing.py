@@ -110,10 +110,12 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
         ]
         return pd.DataFrame(rows, columns=["container_id", "capacity", "group_no", "bin_no", "doc_id", "part", "first_token", "tokens"])
 
+    # a fixed number of partitions: by their bytes the groups would all be one task's, but they cost time
+    tasks = min(groups, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
         token_counts(documents, vocabulary)
         # the row number spreads the copies of a repeated document over the groups
         .select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups)).cast("int").alias("group_no"))
-        .groupBy("group_no")
+        .repartition(tasks, "group_no").groupBy("group_no")
         .applyInPandas(run, "container_id int, capacity int, group_no int, bin_no int, doc_id bigint, part int, first_token int, tokens int")
     )
