@@ -265,7 +265,7 @@ def _best_entries(rules: dict[str, Rules]):
 
 
 #: Distinct values scored together in one call.
-VALUES_PER_GROUP = 2000
+VALUES_PER_GROUP = 500
 
 
 def mapped(values: DataFrame, refs: DataFrame, rules: dict[str, Rules]) -> DataFrame:
