@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from almagre.functions.places import GENERIC, generic_label
-from almagre.functions.text import decoded_entities, first_filled, ladder, normalized, squeezed, without_invisible
+from almagre.functions.text import decoded_entities, first_filled, ladder, normalized, once, squeezed, without_invisible
 
 # Channels that are none (normalised).
 NO_CHANNEL = ("sin tv", "no televisado", "no televisada", "sin television")
@@ -54,7 +54,7 @@ def cleaned_breeding(col: Column, most: int = 220, unwanted: str = NO_BREEDING)
     col = without_invisible(decoded_entities(F.regexp_replace(_text(col), r"(?i)&(?:laquo|raquo|ldquo|rdquo|quot);", " ")))
     col = squeezed(F.regexp_replace(col, "[«»“”\"'´`]", " "))
     col = cleaned_name(F.regexp_replace(col, r"(?iu)^(?:\s*ganader[íi]a\s*[:\-–—]?[\s:–—-]*)+", ""))
-    return F.when((F.length(col) > most) | col.rlike(unwanted), "").otherwise(col)
+    return once(col, lambda c: F.when((F.length(c) > most) | c.rlike(unwanted), "").otherwise(c))
 
 
 def without_edges(col: Column) -> Column:
@@ -69,18 +69,17 @@ def without_prefix_words(col: Column, words: list[str]) -> Column:
 
 def channel_name(col: Column, channels: tuple = CHANNELS) -> Column:
     """A channel's name by the first pattern, else as typed; a missing one is just television."""
-    return ladder(F.coalesce(normalized(col), F.lit("")), list(channels), first_filled(cleaned_name(col), F.lit("Televisión")))
+    return once(F.coalesce(normalized(col), F.lit("")), lambda t: ladder(t, list(channels), first_filled(cleaned_name(col), F.lit("Televisión"))))
 
 
 def type_name(col: Column, types: tuple = TYPES) -> Column:
     """A kind of event by the first pattern, else as typed; a missing one is just an event."""
-    text = F.coalesce(normalized(col), F.lit(""))
-    return F.when(text == "", "Festejo taurino").otherwise(ladder(text, list(types), cleaned_name(col)))
+    return once(F.coalesce(normalized(col), F.lit("")), lambda t: F.when(t == "", "Festejo taurino").otherwise(ladder(t, list(types), cleaned_name(col))))
 
 
 def type_class(col: Column, classes: tuple = CLASSES) -> Column:
     """The fine class of a kind of event."""
-    return ladder(F.coalesce(normalized(col), F.lit("")), list(classes), F.lit("other"))
+    return once(F.coalesce(normalized(col), F.lit("")), lambda t: ladder(t, list(classes), F.lit("other")))
 
 
 def no_channel(col: Column, words: tuple = NO_CHANNEL) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from almagre.functions.similarity import fuzzy
-from almagre.functions.text import normalized, squeezed
+from almagre.functions.text import normalized, once, squeezed
 
 # Towns that a place means if it contains the name, in order; the last only where provinces in brackets don't count.
 TOWNS = (
@@ -47,13 +47,13 @@ def canonical_place(col: Column, towns: tuple = TOWNS, by_province: tuple = PROV
     """The place's key: a known town or arena it contains, else its words; what stands in brackets doesn't count. Null is empty."""
     col = F.coalesce(col, F.lit(""))
     text = _said(normalized(F.regexp_replace(col, r"\([^)]*\)", " ")))
-    return first_contained(normalized(col), list(arenas), first_contained(text, [(t, t) for t in towns] + list(by_province), text))
+    return first_contained(normalized(col), list(arenas), once(text, lambda t: first_contained(t, [(x, x) for x in towns] + list(by_province), t)))
 
 
 def shown_place(col: Column, towns: tuple = TOWNS, arenas: tuple = ARENAS) -> Column:
     """The same for agendas shown together, where what stands in brackets counts."""
     text = _said(normalized(F.coalesce(col, F.lit(""))), tuple((a, f" {t} ") for a, t in arenas))
-    return first_contained(text, [(t, t) for t in towns], text)
+    return once(text, lambda t: first_contained(t, [(x, x) for x in towns], t))
 
 
 def match_place(col: Column, countries: tuple = COUNTRIES) -> Column:
@@ -90,7 +90,7 @@ def country_code(parts: list[Column], explicit: Column | None = None, rules: tup
     """An explicit country code that is known, else the first rule with a term in the parts, else home."""
     text = normalized(F.concat_ws(" ", *parts))
     pairs = [(term, code) for code, terms in rules for term in terms]
-    found = first_contained(text, pairs, F.lit(home))
+    found = once(text, lambda t: first_contained(t, pairs, F.lit(home)))
     if explicit is None:
         return found
     code = F.upper(F.trim(explicit))

@@ -24,6 +24,11 @@ ENTITIES = {
 }
 
 
+def once(col: Column, f) -> Column:
+    """``f`` of a value that is worked out a single time, however often ``f`` names it."""
+    return F.get(F.transform(F.array(col), f), F.lit(0))
+
+
 def fold_accents(col: Column) -> Column:
     """Latin letters without their accents; combining marks go, all else stays."""
     return F.regexp_replace(F.translate(col, _FROM, _TO), "[\\u0300-\\u036f]", "")

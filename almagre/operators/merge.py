@@ -311,13 +311,17 @@ def _merged(a: dict, b: dict, rules: Rules) -> dict:
 
 # -- the fold -----------------------------------------------------------------------------------------------
 
-#: Records of a (date, content type) from which the block is split by places that exclude each other.
-LARGE = 5_000
+#: Records of a (date, content type) from which the block is split by places that exclude each other; calls that the blocks are dealt to.
+LARGE, CALLS = 5_000, 1024
 _KEYS = "place_ string, match_ string, channel_ string, minute_ int"
 
 
 def _fold(rules: Rules):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # several blocks come in one call, for its fixed cost; each is folded on its own
+        return pd.concat([block(own) for _, own in pdf.groupby(["date", "contentType", "part_"], sort=False)], ignore_index=True)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["rank", "seq", "rec"]).to_dict("records")
         kept: list[tuple[dict, _Side, str]] = []
         out = []
@@ -391,7 +395,8 @@ def folded(records: DataFrame, rules: Rules = RULES, large: int = LARGE) -> Data
     alone = F.coalesce(F.col("date"), F.lit("")).isin("") | F.col("contentType").isNull()
     single = keyed.where(alone).select("rec", F.col("rec").alias("cluster"), F.lit(0.0).alias("score"), F.col("rank").cast("int"), F.col("seq").cast("bigint"), *EVENT)
     blocks = _split(keyed.where(~alone), rules, large)
-    found = blocks.groupBy("date", "contentType", "part_").applyInPandas(_fold(rules), f"rec string, cluster string, score double, rank int, seq bigint, {_SCHEMA}")
+    call = F.pmod(F.xxhash64("date", "contentType", "part_"), F.lit(CALLS)).alias("call_")
+    found = blocks.withColumn("call_", call).groupBy("call_").applyInPandas(_fold(rules), f"rec string, cluster string, score double, rank int, seq bigint, {_SCHEMA}")
     return found.unionByName(single)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagre.functions import labels, places
-from almagre.operators import merge, quality
+from almagre.operators import display, merge, quality
 from almagre.plans.function_queries import _normal
 from almagre.plans.label_queries import breeding_sql, canonical_sql, channel_sql, fuzzy_sql, generic_sql, listing_sql, match_sql, none_sql, type_sql, _name
 from almagre.session import cut, table
@@ -187,3 +187,11 @@ def qa_merged_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = quality.violations(events, "rec", checks).groupBy("rec").agg(F.array_join(F.array_sort(F.collect_set("violation")), ",").alias("violations"))
     return merge.in_order(events.join(failed, "rec", "left")).select(
         "rec", "date", "time", "location", "name", "channel", "type", "breeding", F.array_join("participants", "; ").alias("participants"), F.array_join("sources", "; ").alias("sources"), "confidence", "status", F.coalesce("violations", F.lit("")).alias("violations"))
+
+
+@query()
+def e10_shown_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged agenda as it is shown: what is left of it after the second pass, with the number of events in each."""
+    shown = cut(display.deduplicated(cut(merge.events_of(_fold(spark, sf_dir)))))
+    n = shown.groupBy("cluster").agg(F.count("*").alias("events"))
+    return shown.where("rec = cluster").join(n, "cluster").select("rec", "date", "time", "location", "type", "channel", "televised", "breeding", F.array_join("participants", "; ").alias("participants"), "events")

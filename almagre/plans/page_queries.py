@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from almagre.functions import dates, labels, pages, places, similarity, text
-from almagre.operators import joins, listings, quality
+from almagre.functions import arrays, dates, labels, pages, places, similarity, text
+from almagre.operators import extract, joins, listings, quality
 from almagre.plans.agenda_queries import _LATEST, _UTC, _latest
 from almagre.plans.function_queries import _squeezed
 from almagre.plans.relational_queries import _CATEGORY
-from almagre.session import table
+from almagre.session import shared_folder, table
 from almagre.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +262,30 @@ def o02_busiest_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = v.groupBy("date").count().agg(F.max_by("date", F.struct("count", (-F.unix_date(F.to_date("date"))).alias("d"))).alias("date"))
     start = F.coalesce(F.nullif("time", F.lit("")), F.lit("99:99"))
     return v.join(day, "date").orderBy(start, F.collate(F.coalesce("location", F.lit("")), "es"), "id").select("id", start.alias("start"), "location")
+
+
+# -- whole outputs ------------------------------------------------------------------------------------------------
+_column("x01_block_texts", "documents", lambda: F.array_join(extract.blocks(C("text"), "Además", "(?i)de"), "¶"), """array_to_string(list_filter(list_transform(string_split("text", 'Además'), lambda z, i: case when i > 1 then 'Además' || z else z end), lambda z: regexp_matches(z, '(?i)de')), '¶')""", "doc_id")
+_spoken_week = lambda: F.concat(F.lit("Del "), F.dayofmonth(F.to_date("date")).cast("string"), F.lit(" de "), F.get(F.array(*map(F.lit, dates.MONTHS)), F.month(F.to_date("date")) - 1), F.lit(" al "), F.dayofmonth(F.date_add(F.to_date("date"), 6)).cast("string"), F.lit(" de "), F.get(F.array(*map(F.lit, dates.MONTHS)), F.month(F.date_add(F.to_date("date"), 6)) - 1), F.lit(" de "), F.year(F.date_add(F.to_date("date"), 6)).cast("string"))
+_column("f49_whole_week", "vadetoros", lambda: F.array_join(F.transform(dates.week_dates(_spoken_week()), dates.iso_day), " "), "array_to_string(list_transform(range(0, 7), lambda i: strftime(cast(date as date) + i::int, '%Y-%m-%d')), ' ')")
+_column("s18_all_sundays", "lasventas", lambda: F.array_join(F.transform(dates.sundays(F.to_date("date"), 12), dates.iso_day), " "), "array_to_string(list_transform(range(0, 12), lambda i: strftime(cast(date as date) + cast((7 - dayofweek(cast(date as date))) % 7 as int) + (7 * i)::int, '%Y-%m-%d')), ' ')")
+_column("f82_merged_names", "vadetoros", lambda: F.array_join(arrays.merged(F.slice(C("participants"), 1, 2), C("participants"), lambda a, b: similarity.share_of_larger(similarity.words(text.normalized(a)), similarity.words(text.normalized(b))) >= 0.75), "|"), "array_to_string(list_filter(participants, lambda z, i: i <= 2 or list_position(participants, z) = i), '|')")
+_best = lambda: arrays.best_per_name(F.transform(C("participants"), lambda p, i: F.struct(F.substring(p, 1, 1).alias("name"), (F.length(p) % 7).alias("confidence"), i.alias("i"))))
+_firsts = "list_transform(participants, lambda q: substring(q, 1, 1))"
+_own = "list_filter(participants, lambda q: substring(q, 1, 1) = nm)"
+_column("f84_best_details", "vadetoros", lambda: F.array_join(F.transform(_best(), lambda d: F.concat(d["name"], d["i"].cast("string"))), ","), f"array_to_string(list_transform(list_filter({_firsts}, lambda z, i: list_position({_firsts}, z) = i), lambda nm: nm || (list_filter(range(0, len(participants)), lambda k: substring(participants[k + 1], 1, 1) = nm and length(participants[k + 1]) % 7 = list_max(list_transform({_own}, lambda q: length(q) % 7)))[1])), ',')")
+_html_bits = lambda: F.concat(F.lit("a&#xE9;&#233;&#XE9;&amp;lt; &#9999999;&#xD800; "), F.coalesce("title", F.lit("")), F.lit(" &ntilde;&Ntilde;&euro;"))
+_column("f14_decoded", "documents", lambda: text.decoded_entities(_html_bits()), "'aééé&lt; \ufffd\ufffd ' || coalesce(title, '') || ' ñÑ€'", "doc_id")
+_column("f15b_encoded", "vadetoros", lambda: F.url_encode(F.concat(F.regexp_replace(text.fold_accents(F.coalesce("location", F.lit(""))), "[^A-Za-z0-9]", " "), F.lit("/ñ&?"))), "regexp_replace(regexp_replace(strip_accents(coalesce(location, '')), '[^A-Za-z0-9]', ' ', 'g'), ' ', '+', 'g') || '%2F%C3%B1%26%3F'")
+
+
+@query("select row_id, date, location, title from canalsur")
+def s02_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed written as JSON envelopes, a file each by its kind of event, and read again as events; a missing source is an empty one."""
+    place = f"{shared_folder(spark)}/envelopes-{uuid.uuid4().hex}"
+    event = F.struct(C("row_id").cast("string").alias("id"), "date", "location", "title")
+    t = table(spark, sf_dir, "canalsur")
+    t.groupBy(F.coalesce("type", F.lit("")).alias("source")).agg(F.collect_list(event).alias("events")).withColumn("updatedAt", F.lit("2025-01-01")).coalesce(1).write.option("maxRecordsPerFile", 1).json(place)
+    found = readers.events_of(readers.json_documents(spark, place, strict=True))
+    none = readers.events_of(readers.optional(spark, f"{place}-none", readers.ENVELOPE).withColumn("file", F.lit("")))
+    return readers.first_filled(none, found).select(C("id").cast("bigint").alias("row_id"), "date", "location", "title")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from almagre.operators import merge
+from almagre.operators import display, merge
 
 RAW = "rec string, rank int, seq long, id string, date string, time string, channel string, location string, type string, contentType string, breeding string, name string, title string, participants array<string>, televised boolean, televisionUnconfirmed boolean, deferred boolean, eventUrl string, fetchedAt string, source string"
 BLANK = dict.fromkeys(c.split()[0] for c in RAW.split(", "))
@@ -138,3 +138,17 @@ def test_moved_events(spark):
     other = events.withColumn("participants", F.when(F.col("rec") == "r0", F.array(F.lit("X Y"))).otherwise(F.col("participants")))
     assert {tuple(r) for r in merge.moved(other)[1].collect()} == {("r1", "r2")}
     assert list(itertools.islice((r.rec for r in merge.in_order(events).collect()), 3)) == ["r0", "r4", "r1"]
+
+
+def test_shown_events(spark):
+    base = {"location": TOWN, "participants": ["Ana Pérez", "Luis Gil"], "type": "Corrida", "source": "A"}
+    rows = [
+        {**base, "channel": "Sin TV", "title": "uno", "breeding": "Sotolavera"}, {**base, "channel": "Tele Dehesa", "location": "Plaza de toros Madralba (Sotomar)", "participants": ["ANA PEREZ"], "time": "18:00", "source": "B"},
+        {**base, "location": "Plaza de toros, Madralba (Sotomar)", "participants": [], "breeding": "Ganadería: Sotolavera de la Sierra"}, {**base, "type": "Novillada"}, {**base, "participants": ["X Y"], "breeding": "Z"},
+        {**base, "contentType": "programa"}, {**base, "contentType": "programa"}, {**base, "date": None}, {"location": "", "name": "", "participants": ["Ana Pérez"]},
+    ]
+    got = {r.rec: r for r in display.deduplicated(_records(spark, rows)).collect()}
+    assert {k: r.cluster for k, r in got.items()} == {"r0": "r0", "r1": "r0", "r2": "r0", **{f"r{i}": f"r{i}" for i in range(3, 9)}}
+    e = got["r0"]
+    assert (e.channel, e.televised, e.time, e.location, e.breeding, e.participants, e.sources) == ("Tele Dehesa", True, "18:00", "Plaza de toros, Madralba (Sotomar)", "Sotolavera", ["ANA PEREZ"], ["A", "B"])
+    assert display.deduplicated(_records(spark, rows).limit(0)).count() == 0
