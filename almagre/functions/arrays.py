@@ -49,3 +49,10 @@ def chosen(first: Column, second: Column, prefer_second: Column) -> Column:
 def toggled(values: Column, value: Column) -> Column:
     """A set without the value if it holds it, else with it at the end."""
     return F.when(F.array_contains(values, value), F.array_remove(values, value)).otherwise(F.array_append(values, value))
+
+
+def plain_names(names: Column, roles: str, unwanted: str) -> Column:
+    """Names without roles before them, what stands in brackets and full stops behind; without those that match ``unwanted`` or hold no letter."""
+    bare = F.transform(F.array_compact(F.coalesce(names, F.array().cast("array<string>"))), lambda n: F.regexp_replace(F.regexp_replace(n, r"\([^)]*\)", " "), rf"(?iu)^\s*(?:{roles})\s*:?\s+", ""))
+    bare = F.transform(bare, lambda n: squeezed(F.regexp_replace(n, r"[\s.,;]+$", "")))
+    return F.array_distinct(F.filter(bare, lambda n: n.rlike(r"\p{L}") & ~n.rlike(unwanted)))

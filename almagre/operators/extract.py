@@ -66,3 +66,12 @@ def best_dated(df: DataFrame, text: str, key: str, words: list[tuple[str, int]],
     scored = rows.withColumn("score", score)
     best = F.max_by(F.struct("candidate", "score", "position"), F.struct("score", -F.col("position"))).alias("r")
     return scored.groupBy(key).agg(best).select(key, "r.*")
+
+
+def by_hours(df: DataFrame, text: str) -> DataFrame:
+    """A row per entry of a schedule: the time each piece of the text begins with, what follows it, and its position. What stands before the first time is no entry."""
+    at = r"(?<![\d:])(?:[01]?\d|2[0-3]):[0-5]\d(?!\d)"
+    pieces = df.select("*", F.posexplode(F.split(text, f"(?={at})")).alias("pos", "piece_"))
+    time = F.regexp_extract("piece_", f"^({at})", 1)
+    rest = squeezed(F.regexp_replace("piece_", f"^{at}", ""))
+    return pieces.where(time != "").select(*df.columns, "pos", F.lpad(time, 5, "0").alias("time"), rest.alias("entry")).where("entry <> ''")

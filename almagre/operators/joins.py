@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,13 +48,28 @@ def within_km(points: DataFrame, centres: DataFrame, km: float) -> DataFrame:
     return points.join(near, ["band", "cell"]).withColumn("km", distance).where(F.col("km") <= km).drop("band", "cell")
 
 
+#: Rules up to which they are broadcast (a term and a label each); letters of a term by which more are joined.
+BROADCAST_RULES, TERM_LETTERS = 10_000, 3
+
+
 def first_rule(df: DataFrame, text: str, rules: DataFrame) -> DataFrame:
     """Each row with the label of the first rule ``(rank, term, label)`` whose term its text contains; null if none.
 
-    Distinct texts are compared, not rows; the rules are a short list.
+    Distinct texts are compared, not rows. A short list of rules is broadcast; with a long one each text meets only the rules
+    whose first letters stand in it, and all rules of fewer letters.
     """
     texts = df.select(text).where(F.col(text).isNotNull()).distinct()
-    hit = texts.join(rules, F.contains(F.col(text), F.col("term"))).groupBy(text).agg(F.min_by("label", "rank").alias("label"))
+    contains = F.contains(F.col(text), F.col("term"))
+    if rules.count() <= BROADCAST_RULES:
+        pairs = texts.join(F.broadcast(rules), contains)
+    else:
+        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - TERM_LETTERS + 1)), lambda i: F.substring(F.col(text), i, TERM_LETTERS)))
+        keyed = texts.withColumn("piece_", F.explode(pieces)).join(rules.where(F.length("term") >= TERM_LETTERS).withColumn("piece_", F.substring("term", 1, TERM_LETTERS)), "piece_")
+        # terms of fewer letters are all substrings of so many letters that a text has
+        short = [texts.withColumn("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(F.col(text), i, n))))).where(F.length("term") == n).join(rules.where(F.length("term") == n), "term") for n in range(1, TERM_LETTERS)]  # noqa: B023
+        empty = texts.join(F.broadcast(rules.where("term = ''").orderBy("rank").limit(1)))
+        pairs = reduce(lambda x, y: x.unionByName(y), [keyed.where(contains).drop("piece_"), *[s.where(F.length(text) > 0) for s in short], empty])
+    hit = pairs.groupBy(text).agg(F.min_by("label", "rank").alias("label"))
     return df.join(hit, text, "left")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from almagre.functions import arrays, dates, labels, pages, places, similarity, text
 from almagre.operators import extract, joins, listings, quality
 from almagre.plans.agenda_queries import _LATEST, _UTC, _latest
-from almagre.plans.function_queries import _squeezed
+from almagre.plans.function_queries import _normal, _squeezed
+from almagre.plans.label_queries import fuzzy_sql
 from almagre.plans.relational_queries import _CATEGORY
 from almagre.session import shared_folder, table
 from almagre.sources import readers
@@ -289,3 +290,27 @@ def s02_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = readers.events_of(readers.json_documents(spark, place, strict=True))
     none = readers.events_of(readers.optional(spark, f"{place}-none", readers.ENVELOPE).withColumn("file", F.lit("")))
     return readers.first_filled(none, found).select(C("id").cast("bigint").alias("row_id"), "date", "location", "title")
+
+
+_SCHEDULE = lambda: F.concat(F.lit("Hoy 25:00 no. "), F.array_join(F.transform("participants", lambda p, i: F.concat((i + 9).cast("string"), F.lit(":30 "), p)), " "))
+
+
+@query(f"select row_id, i as pos, lpad((i + 8)::varchar, 2, '0') || ':30' as time, {_squeezed('p')} as entry from (select row_id, unnest(participants) as p, generate_subscripts(participants, 1) as i from vadetoros) where {_squeezed('p')} <> ''")
+def x08_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each day's schedule by the hours that stand in its text."""
+    t = table(spark, sf_dir, "vadetoros").where(F.size("participants") > 0).select("row_id", _SCHEDULE().alias("text"))
+    return extract.by_hours(t, "text").select("row_id", C("pos").cast("bigint").alias("pos"), "time", "entry")
+
+
+_column("f81b_plain_names", "vadetoros", lambda: F.array_join(arrays.plain_names(F.transform("participants", lambda p, i: F.when(i == 0, F.concat(F.lit("Rejoneador: "), p, F.lit(" (debut)."))).when(i == 1, F.concat(F.lit("con picadores "), p)).otherwise(p)), "rejoneador|novillero", "(?i)picadores"), "|"), f"coalesce(array_to_string(list_filter(list_transform(list_filter(participants, lambda z, i: i <> 2), lambda z: {_squeezed("regexp_replace(z, '[" + chr(92) + "s.,;]+$', '')")}), lambda z: z <> ''), '|'), '')")
+_column("p11_nearby_key", "vadetoros", lambda: labels.joined_key([C("date"), C("time"), text.first_filled(C("location"), C("name")), C("type")], normal=False), "coalesce(date, '') || '|' || coalesce(time, '') || '|' || coalesce(nullif(location, ''), nullif(name, ''), '') || '|' || coalesce(type, '')")
+_MANY = {"channel": ["Canal Ribera"], "location": ["Madralba (Altozano Real)"], "type": ["Rejones"], "breeding": ["Marqués de Sabiteña"], "contentType": ["festejo"], "participants": ["Víctor Gallededor"]}
+_HITS = ", ".join(f"case when {'list_contains(participants, ' + chr(39) + v + chr(39) + ')' if c == 'participants' else c + ' = ' + chr(39) + v + chr(39)} then '{c}: {v}' end" for c, vs in _MANY.items() for v in vs)
+_column("j07_six_dimensions", "vadetoros", lambda: F.array_join(F.array_compact(F.array(*[F.when(F.array_contains(c, v) if c == "participants" else C(c) == v, f"{c}: {v}") for c, vs in _MANY.items() for v in vs])), "; "), f"array_to_string(list_filter([{_HITS}], lambda z: z is not null), '; ')")
+_pair = ["victor gallededor", "pablo murcibochi"]
+_alike = lambda x, y: f"({fuzzy_sql(x, y)}) >= 0.6"
+_lower = _normal("z")
+_column(
+    "f53b_soft_share", "canalextremadura", lambda: F.round(similarity.soft_share(F.coalesce("participants", F.array().cast("array<string>")), F.array(*map(F.lit, ("Victor Gallededor", "Pablo Murcibochi"))), 0.6), 6),
+    f"round(case when coalesce(len(participants), 0) = 0 then 0.0 when len(participants) <= 2 then len(list_filter(participants, lambda z: {' or '.join(_alike(_lower, chr(39) + y + chr(39)) for y in _pair)})) / len(participants)::double else ({' + '.join(f'case when len(list_filter(participants, lambda z: {_alike(_lower, chr(39) + y + chr(39))})) > 0 then 1 else 0 end' for y in _pair)}) / 2.0 end, 6)",
+)

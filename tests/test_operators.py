@@ -228,3 +228,16 @@ def test_streams(spark, tmp_path, rows):
     moved = feeds.changes(stream.withColumn("k", F.col("k").cast("string")), "k", "v")
     moved.writeStream.format("memory").queryName("moved").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("moved").count() == 9
+
+
+def test_first_rule_of_many(spark):
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abc") for _ in range(n))
+    texts = [(i, word(rnd.randint(0, 12))) for i in range(120)] + [(999, None), (998, "")]
+    rules = [(i, word(rnd.randint(1, 6)), f"l{i}") for i in range(40)]
+    df, rl = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame(rules, "rank int, term string, label string")
+    expected = {(i, next((lb for _, term, lb in rules if t is not None and term in t), None)) for i, t in texts}
+    for most in (10_000, 3):
+        before, joins.BROADCAST_RULES = joins.BROADCAST_RULES, most
+        assert {(r.id, r.label) for r in joins.first_rule(df, "t", rl).collect()} == expected
+        joins.BROADCAST_RULES = before
