@@ -3,7 +3,8 @@
 Each task gathers its documents into shards of a bounded number of words, builds the shard's suffix array over
 word symbols (prefix doubling), its Burrows-Wheeler transform in a wavelet matrix and sampled suffix
 positions. All windows of the evaluation items are searched backwards at once; the occurrences are located
-through the samples and merged into spans to be removed. Documents are never shuffled.
+through the samples and merged into spans to be removed. Documents are never shuffled. ``leaked_spans`` builds its index for one
+set of items, over their words only; ``kept_index`` holds all words and is built once for any number of sets.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +62,31 @@ class FMIndex:
         self.marks = np.concatenate([[0], np.cumsum(sampled)]).astype(np.int32)
         self.samples = order[sampled].astype(np.int32)
 
+    def stored(self) -> bytes:
+        """The index as bytes: bits instead of running counts."""
+        head = np.array([self.n, self.levels, len(self.first), len(self.samples)], dtype=np.int64)
+        bits = [np.packbits(np.diff(x)) for x in (*self.ones, self.marks)]
+        return b"".join([head.tobytes(), self.first.astype(np.int64).tobytes(), self.samples.tobytes(), *[b.tobytes() for b in bits]])
+
+    @classmethod
+    def restored(cls, raw: bytes) -> FMIndex:
+        """The index out of its bytes."""
+        self = cls.__new__(cls)
+        self.n, self.levels, firsts, samples = np.frombuffer(raw, dtype=np.int64, count=4).tolist()
+        at = 32
+        self.first = np.frombuffer(raw, dtype=np.int64, count=firsts, offset=at)
+        at += 8 * firsts
+        self.samples = np.frombuffer(raw, dtype=np.int32, count=samples, offset=at)
+        at += 4 * samples
+        size, counts = -(-self.n // 8), []
+        for _ in range(self.levels + 1):
+            bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8, count=size, offset=at), count=self.n)
+            counts.append(np.concatenate([[0], np.cumsum(bits, dtype=np.int32)]).astype(np.int32))
+            at += size
+        self.ones, self.marks = counts[:-1], counts[-1]
+        self.zeros = [self.n - int(x[-1]) for x in self.ones]
+        return self
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place of the transform."""
         low, at = np.zeros_like(at), at.copy()
@@ -236,3 +264,101 @@ def leaked_spans(documents: DataFrame, items: DataFrame, pass_chars: int = PASS_
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+# -- an index that is kept ----------------------------------------------------------------------------------
+
+
+def _hashes(words: list[str], seen: dict[str, int]) -> list[int]:
+    if len(seen) > 500_000:
+        seen.clear()
+    return [seen[w] if w in seen else seen.setdefault(w, xxhash.xxh64_intdigest(word_form(w))) for w in words]
+
+
+def kept_index(documents: DataFrame) -> DataFrame:
+    """``(docs, starts, vocabulary, index)``: an FM-index per shard over all its words, to be written once and searched by any number of item sets.
+
+    ``docs`` are the shard's document ids, ``starts`` their first words, ``vocabulary`` the sorted 64-bit hashes of its words (symbols count from 1). Documents of
+    fewer than twelve words, null texts and rows without an id aren't in it. No document is shuffled.
+    """
+
+    def shard(docs: list, words: list[int], starts: list[int]) -> pd.DataFrame:
+        whole = np.asarray(words, dtype=np.uint64)
+        ends = np.zeros(len(whole), dtype=bool)
+        ends[[s - 1 for s in starts[1:]] + [len(whole) - 1]] = True
+        vocabulary, symbols = np.unique(whole[~ends], return_inverse=True)
+        text = np.zeros(len(whole), dtype=np.int64)
+        text[~ends] = symbols + 1
+        index = FMIndex(text, len(vocabulary))
+        return pd.DataFrame({"docs": [docs], "starts": [starts], "vocabulary": [vocabulary.tobytes()], "index": [index.stored()]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs, words, starts, seen = [], [], [], {}
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                own = words_of(text)
+                if len(own) < WINDOW:
+                    continue
+                docs.append(doc)
+                starts.append(len(words))
+                words += [*_hashes(own, seen), 0]
+                if len(words) >= SHARD_WORDS:
+                    yield shard(docs, words, starts)
+                    docs, words, starts = [], [], []
+        if words:
+            yield shard(docs, words, starts)
+
+    there = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return there.mapInPandas(run, "docs array<bigint>, starts array<int>, vocabulary binary, index binary")
+
+
+def search_kept(index: DataFrame, items: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """``(item_id, doc_id, first_word, words)``: the spans of indexed documents that hold at least twelve words of an item, counted in words.
+
+    The items are made into blocks of about ``pass_chars`` characters by the tasks; every shard meets every block. Items of fewer
+    than twelve words, null texts and rows without an id give nothing.
+    """
+    items = items.where("text is not null and item_id is not null").select("item_id", "text")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // pass_chars))
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [(i, _hashes(words_of(t), {})) for i, t in zip(pdf["item_id"], pdf["text"], strict=True)]
+        own = [(i, ws) for i, ws in own if len(ws) >= WINDOW]
+        flat = np.array([w for _, ws in own for w in ws], dtype=np.uint64)
+        return pd.DataFrame({"ids": [[i for i, _ in own]], "sizes": [[len(ws) for _, ws in own]], "flat": [flat.tobytes()]})
+
+    made = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).groupBy("block").applyInPandas(packed, "ids array<bigint>, sizes array<int>, flat binary")
+    made = cut(made.withColumn("block", F.monotonically_increasing_id()))
+    schema = "item_id bigint, doc_id bigint, first_word int, words int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for docs, starts, vocabulary, raw, ids, sizes, flat in zip(*[batch[c] for c in ("docs", "starts", "vocabulary", "index", "ids", "sizes", "flat")], strict=True):
+                known, words = np.frombuffer(vocabulary, dtype=np.uint64), np.frombuffer(flat, dtype=np.uint64)
+                place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+                symbols = np.where(known[place] == words, place + 1, 0) if len(known) else np.zeros(len(words), dtype=np.int64)
+                ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
+                begin = np.concatenate([np.arange(e - n, e - WINDOW + 1) for e, n in zip(ends, sizes, strict=True)]) if len(ids) else np.zeros(0, dtype=np.int64)
+                number = np.repeat(np.arange(len(ids)), np.asarray(sizes, dtype=np.int64) - WINDOW + 1)
+                yield _kept_hits(FMIndex.restored(raw), np.asarray(docs), np.asarray(starts), symbols, begin, number, np.asarray(ids))
+
+    parts = []
+    for r in made.select("block").collect():  # one number a block
+        block = made.where(F.col("block") == r["block"]).drop("block")
+        # (at most pass_chars characters, as numbers)
+        parts.append(index.select("docs", "starts", "vocabulary", "index").crossJoin(F.broadcast(block)).mapInPandas(run, schema))
+    return reduce(DataFrame.unionByName, parts) if parts else index.sparkSession.createDataFrame([], schema)
+
+
+def _kept_hits(index: FMIndex, docs: np.ndarray, starts: np.ndarray, symbols: np.ndarray, begin: np.ndarray, number: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    which, low, high = index.search(symbols, begin, WINDOW)
+    if not len(which):
+        return pd.DataFrame([], columns=["item_id", "doc_id", "first_word", "words"])
+    count = high - low
+    at = index.locate(np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    doc = np.searchsorted(starts, at, side="right") - 1
+    hits = pd.DataFrame({"item": number[np.repeat(which, count)], "doc": doc, "at": at - starts[doc]}).drop_duplicates().sort_values(["doc", "item", "at"])
+    same = (hits["doc"].eq(hits["doc"].shift()) & hits["item"].eq(hits["item"].shift()) & (hits["at"] <= hits["at"].shift() + WINDOW)).to_numpy()
+    spans = hits.groupby((~same).cumsum()).agg(item=("item", "first"), doc=("doc", "first"), a=("at", "min"), b=("at", "max"))
+    return pd.DataFrame({"item_id": ids[spans["item"]], "doc_id": docs[spans["doc"]], "first_word": spans["a"].to_numpy(), "words": (spans["b"] + WINDOW - spans["a"]).to_numpy()})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from almagre.llm.canonical_map import RULES, mapped
 from almagre.llm.consistent_form import comparison_key, consistent_column, not_consistent
 from almagre.llm.entity_match import matches
-from almagre.llm.leak_index import leaked_spans
+from almagre.llm.leak_index import kept_index, leaked_spans, search_kept
 from almagre.llm.name_variants import entities, variant_pairs
 from almagre.llm.names import breeder, names_channel, person, plain, usable
 from almagre.llm.packing import pack
@@ -20,7 +21,7 @@ from almagre.llm.sql import SQL  # noqa: F401
 from almagre.llm.survivors import survivors
 from almagre.llm.subjects import subjects_of
 from almagre.operators.snapshot_diff import hour_and_minute
-from almagre.session import table
+from almagre.session import shared_folder, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +238,15 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "evalitems"))
 
 
+def p9_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents through an index of all words that is written once and searched for two sets of items."""
+    place = f"{shared_folder(spark)}/leak-index-{uuid.uuid4().hex}"
+    kept_index(table(spark, sf_dir, "documents")).write.parquet(place)
+    items = table(spark, sf_dir, "evalitems")
+    parts = [search_kept(spark.read.parquet(place), items.where(F.pmod(F.xxhash64("item_id"), F.lit(2)) == k)) for k in (0, 1)]
+    return reduce(DataFrame.unionByName, parts).select("item_id", "doc_id").distinct()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subjects of each document without a label of its own."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "doclabels")
@@ -254,5 +264,5 @@ QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched,
     "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_entities": p6_entities,
     "p8_packed": p8_packed, "p8_fill": p8_fill,
-    "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_composition": p10_composition,
+    "p9_found": p9_found, "p9_spans": p9_spans, "p9_kept_index": p9_kept_index, "p10_found": p10_found, "p10_composition": p10_composition,
 }

@@ -43,3 +43,5 @@ SQL = {
   g as (select id, item, hash(ws[i:i + 11]) as h from (select *, unnest(generate_series(1, len(ws) - 11)) as i from w where len(ws) >= 12))
   select distinct a.id as item_id, b.id as doc_id from g a join g b on a.h = b.h where a.item and not b.item""",
 }
+
+SQL["p9_kept_index"] = SQL["p9_found"]

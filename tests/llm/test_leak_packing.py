@@ -73,6 +73,19 @@ def test_leaks_against_brute_force(spark, monkeypatch, pass_chars):
     assert li.leaked_spans(df.limit(0), it).count() == li.leaked_spans(df, it.limit(0)).count() == 0
 
 
+def test_a_kept_index_finds_the_same(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(li, "SHARD_WORDS", 400)
+    items, docs = _texts(5)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string, vocabulary string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = {(r.item_id, r.doc_id, r.words) for r in li.leaked_spans(d, i).collect()}
+    li.kept_index(d.coalesce(2)).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.count() > 2 and expected
+    for chars in (li.PASS_CHARS, 300):
+        assert {(r.item_id, r.doc_id, r.words) for r in li.search_kept(index, i, chars).collect()} == expected
+    assert li.search_kept(index, i.limit(0)).count() == li.search_kept(index.limit(0), i).count() == 0
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 300), max_size=60), st.integers(1, 120))
 def test_packing(sizes, capacity):
