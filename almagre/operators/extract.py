@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almagre.functions.arrays import split_names
 from almagre.functions.text import first_filled, squeezed
+from almagre.operators.joins import in_parts
 
 
 def blocks(col: Column, before: str, containing: str) -> Column:
@@ -42,9 +43,17 @@ def rolled_days(df: DataFrame, group: list[str], position: str, minutes: str, mo
 
     A listing runs past midnight; the next day begins when the previous item is before the morning and this one isn't.
     """
-    w = Window.partitionBy(*group).orderBy(position)
-    turned = F.when((F.lag(minutes).over(w) < morning) & (F.col(minutes) >= morning), 1).otherwise(0)
-    out = df.withColumn("turned_", turned).withColumn("day_index", F.sum("turned_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("turned_")
+    rows = in_parts(df, group, [position])
+    # what a range needs of those before it: their last time, and how often the day turned in them
+    around, w = Window.partitionBy("key_").orderBy("part_"), Window.partitionBy("key_", "part_").orderBy(position)
+    last = rows.groupBy("key_", "part_").agg(F.max_by(minutes, position).alias("m_")).select("key_", "part_", F.lag("m_").over(around).alias("last_"))
+    first = F.row_number().over(w) == 1
+    rows = rows.join(last, ["key_", "part_"]).withColumn("lag_", F.when(first, F.col("last_")).otherwise(F.lag(minutes).over(w)))
+    rows = rows.withColumn("turned_", F.when((F.col("lag_") < morning) & (F.col(minutes) >= morning), 1).otherwise(0))
+    turns = rows.groupBy("key_", "part_").agg(F.sum("turned_").alias("t_"))
+    turns = turns.select("key_", "part_", F.coalesce(F.sum("t_").over(around.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    inner = F.sum("turned_").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.join(turns, ["key_", "part_"]).withColumn("day_index", inner + F.col("before_")).drop("turned_", "lag_", "last_", "before_", "key_", "part_")
     return out if most is None else out.withColumn("day_index", F.least(F.col("day_index"), most))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almagre.functions.similarity import haversine
+from almagre.session import cut
 
 KM_PER_DEGREE = 111.19
 
@@ -100,16 +101,28 @@ def moved_dates(df: DataFrame, key: list[str], date: str, order: str, most: int,
     return pairs.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "a_day_", "b_day_")
 
 
+def in_parts(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
+    """The rows with ``key_`` (their group) and ``part_``: ranges of group and order, so that a group of any size lies in many partitions, in order."""
+    return cut(df.withColumn("key_", F.struct(*group)).repartitionByRange("key_", *order).withColumn("part_", F.spark_partition_id()))
+
+
 def nearest_value(points: DataFrame, at: str, anchors: DataFrame, anchor: str, group: list[str]) -> DataFrame:
     """Each point with the nearest anchor of its group, the smaller of two as near; no pair is formed.
 
-    Points and anchors are sorted together; the last anchor before and the first after are the only candidates.
+    Points and anchors are sorted together in ranges; the last anchor before and the first after are the only candidates, and where a
+    range has none they come from the ranges beside it, of which one row each is looked at.
     """
     both = points.withColumn("x_", F.col(at).cast("double")).withColumn("a_", F.lit(None).cast("double")).unionByName(
         anchors.select(*group, F.col(anchor).cast("double").alias("x_"), F.col(anchor).cast("double").alias("a_")), allowMissingColumns=True
     )
-    w = Window.partitionBy(*group).orderBy("x_", F.col("a_").asc_nulls_last())
-    low = F.last("a_", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first("a_", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    rows = in_parts(both, group, ["x_"])
+    ends = rows.groupBy("key_", "part_").agg(F.max("a_").alias("top"), F.min("a_").alias("bottom"))
+    around = Window.partitionBy("key_").orderBy("part_")
+    before = F.max("top").over(around.rowsBetween(Window.unboundedPreceding, -1)).alias("before_")
+    after = F.min("bottom").over(around.rowsBetween(1, Window.unboundedFollowing)).alias("after_")
+    rows = rows.join(ends.select("key_", "part_", before, after), ["key_", "part_"])
+    w = Window.partitionBy("key_", "part_").orderBy("x_", F.col("a_").asc_nulls_last())
+    low = F.coalesce(F.last("a_", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("before_"))
+    high = F.coalesce(F.first("a_", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("after_"))
     near = F.when(low.isNull() | (high - F.col("x_") < F.col("x_") - low), high).otherwise(low)
-    return both.withColumn(anchor, near).where(F.col("a_").isNull()).drop("x_", "a_")
+    return rows.withColumn(anchor, near).where(F.col("a_").isNull()).drop("x_", "a_", "key_", "part_", "before_", "after_")

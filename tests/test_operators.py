@@ -241,3 +241,19 @@ def test_first_rule_of_many(spark):
         before, joins.BROADCAST_RULES = joins.BROADCAST_RULES, most
         assert {(r.id, r.label) for r in joins.first_rule(df, "t", rl).collect()} == expected
         joins.BROADCAST_RULES = before
+
+
+def test_one_large_group_is_sorted_in_ranges(spark):
+    rnd = random.Random(12)
+    points = [(i, rnd.choice(["a", None]), rnd.uniform(0, 100)) for i in range(3000)]
+    anchors = [(g, float(rnd.randint(0, 100))) for g in ("a", None, "b") for _ in range(12)]
+    got = {(r.p, r.anchor) for r in joins.nearest_value(spark.createDataFrame(points, "p int, g string, x double"), "x", spark.createDataFrame(anchors, "g string, anchor double"), "anchor", ["g"]).collect()}
+    assert got == {(i, min((a for h, a in anchors if h == g), key=lambda a: (abs(a - x), a))) for i, g, x in points}
+    items = [(i, "a", rnd.randint(0, 1439)) for i in range(3000)]
+    expected, day, last = set(), 0, None
+    for i, _, m in items:
+        day += last is not None and last < 360 <= m
+        last = m
+        expected.add((i, day))
+    rolled = extract.rolled_days(spark.createDataFrame(items, "i int, g string, m int"), ["g"], "i", "m", 360)
+    assert {(r.i, r.day_index) for r in rolled.collect()} == expected
