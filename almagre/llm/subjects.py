@@ -121,7 +121,7 @@ def _terms_of(words: list[bytes], ends: list[bytes]) -> tuple[np.ndarray, np.nda
     # (unsigned pairs as signed numbers: the order doesn't matter)
     term = np.concatenate([word, (word[pair].astype(np.uint64) << np.uint64(32) | word[pair + 1].astype(np.uint64)).view(np.int64)])
     at = np.concatenate([sentence, sentence[pair]])
-    order = np.lexsort((at, term))
+    order = np.argsort(term, kind="stable")  # (sentences are in order among the words and among the pairs, which differ)
     term, at = term[order], at[order]
     new = np.ones(len(term), dtype=bool)
     new[1:] = (term[1:] != term[:-1]) | (at[1:] != at[:-1])
@@ -163,8 +163,8 @@ def _forms(vocabulary):
     return run
 
 
-#: Sentence forms multiplied at a time: their entries by the rank must fit the cache's order of magnitude.
-AT_ONCE = 2000
+#: Entries of sentence forms multiplied at a time: by the rank they must fit the cache's order of magnitude.
+ENTRIES_AT_ONCE = 20_000
 
 
 class Space:
@@ -180,31 +180,31 @@ class Space:
         length = np.sqrt(np.bincount(self.row, weight**2, minlength=self.rows))
         self.weight = (weight / np.maximum(length[self.row], 1e-12)).astype(np.float32)
 
-    def _pieces(self) -> Iterator[tuple[int, int, slice]]:
-        for a in range(0, self.rows, AT_ONCE):
-            b = min(self.rows, a + AT_ONCE)
-            yield a, b, slice(int(self.ends[a]), int(self.ends[b]))
-
     def times(self, basis: np.ndarray) -> np.ndarray:
         out = np.zeros((self.rows, basis.shape[1]), dtype=basis.dtype)
-        for a, b, at in self._pieces():
-            starts = self.ends[a:b] - at.start
-            filled = np.diff(self.ends[a : b + 1]) > 0
-            if filled.any():
-                own = basis[self.ids[at]] * self.weight[at, None]
-                out[a:b][filled] = np.add.reduceat(own, starts[filled], axis=0)
+        # rows of equal length are one batch of small products
+        sizes = np.diff(self.ends)
+        order = np.argsort(sizes, kind="stable")
+        bounds = np.flatnonzero(np.concatenate([[True], np.diff(sizes[order]) > 0, [True]])) if self.rows else np.zeros(1, dtype=int)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            n = int(sizes[order[a]])
+            if not n:
+                continue
+            step = max(1, ENTRIES_AT_ONCE // n)
+            for i in range(a, b, step):
+                rows = order[i : min(b, i + step)]
+                at = self.ends[rows][:, None] + np.arange(n)
+                out[rows] = np.matmul(self.weight[at][:, None, :], basis[self.ids[at]])[:, 0]
         return out
 
     def add_transposed_times(self, total: np.ndarray, y: np.ndarray) -> None:
         """Adds X'y to ``total``."""
-        for _, _, at in self._pieces():
-            ids = self.ids[at]
-            if len(ids):
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                own = y[self.row[at][order]] * self.weight[at][order, None]
-                total[ids[starts]] += np.add.reduceat(own, starts, axis=0)
+        order = np.argsort(self.ids, kind="stable")
+        ids, row, weight = self.ids[order], self.row[order], self.weight[order]
+        bounds = np.flatnonzero(np.concatenate([[True], np.diff(ids) > 0, [True]])) if len(ids) else np.zeros(1, dtype=int)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            # one term's forms: a row vector by the forms' rows
+            total[ids[a]] += weight[a:b] @ y[row[a:b]]
 
     def embedded(self, basis: np.ndarray) -> np.ndarray:
         y = self.times(basis)
