@@ -161,6 +161,19 @@ def test_sentences_in_capitals_keep_their_words(spark):
     assert got == {(d, ["sport", "law", "music"][d % 3]) for d in range(200, 300)}
 
 
+def test_numbered_terms_are_the_terms():
+    import numpy as np
+    import xxhash
+
+    texts = ["El picador de la segunda vara. Ayer Ana Pérez toreaba 12 toros\nEL PICADOR PICADOR", "", "... !", "Uno dos. " * 3, "Sólo", "Año 3 y La Vega: vio a Ana. ¿Qué? 5"]
+    numbers = [sj._numbers(t, {}) for t in texts]
+    at, term, per_doc = sj._terms_of([np.array(w, dtype=np.uint32).tobytes() for w, _ in numbers], [np.array(e, dtype=np.int32).tobytes() for _, e in numbers])
+    number = lambda t: int(np.array([sum(xxhash.xxh32_intdigest(w) << 32 * i for i, w in enumerate(reversed(t.split(" "))))], dtype=np.uint64).view(np.int64)[0])
+    every = [s for t in texts for s in sj.sentences(t)]
+    assert sorted(zip(at.tolist(), term.tolist(), strict=True)) == sorted((k, number(t)) for k, s in enumerate(every) for t in set(sj.terms(s, {})))
+    assert per_doc.tolist() == [len(sj.sentences(t)) for t in texts]
+
+
 def test_basis_is_the_truncated_svd(spark):
     import numpy as np
 
