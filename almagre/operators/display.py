@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from almagre.functions import labels, places
 from almagre.functions.text import first_filled, normalized
-from almagre.operators.merge import CALLS, _plain
+from almagre.operators.merge import PER_CALL, _plain
 from almagre.operators.resolution import _alike
 
 #: Columns of an event that is shown, besides rec, rank and seq.
@@ -81,6 +81,7 @@ def deduplicated(events: DataFrame, least_people: float = 0.5, least_breeding: f
         return pd.DataFrame([[rec, c, *[heads[rec][f] if rec == c else None for f in SHOWN]] for rec, c in out], columns=["rec", "cluster", *SHOWN])
 
     schema = "rec string, cluster string, " + ", ".join(f"{c} {t}" for c, t in SHOWN.items())
-    call = F.pmod(F.xxhash64("date", "place_", "kind_"), F.lit(CALLS)).alias("call_")
+    calls = max(1, -(-events.count() // PER_CALL))
+    call = F.pmod(F.xxhash64("date", "place_", "kind_"), F.lit(calls)).alias("call_")
     folded = keyed.where(~alone).withColumn("call_", call).groupBy("call_").applyInPandas(fold, schema)
     return folded.unionByName(keyed.where(alone).select("rec", F.col("rec").alias("cluster"), *SHOWN))

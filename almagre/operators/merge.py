@@ -311,8 +311,10 @@ def _merged(a: dict, b: dict, rules: Rules) -> dict:
 
 # -- the fold -----------------------------------------------------------------------------------------------
 
-#: Records of a (date, content type) from which the block is split by places that exclude each other; calls that the blocks are dealt to.
-LARGE, CALLS = 5_000, 1024
+#: Records of a (date, content type) from which the block is split by places that exclude each other; records of one call, on average.
+LARGE, PER_CALL = 5_000, 1_000
+#: Large blocks (a date and a content type each) up to which their list is broadcast.
+BROADCAST_BLOCKS = 100_000
 _KEYS = "place_ string, match_ string, channel_ string, minute_ int"
 
 
@@ -352,18 +354,18 @@ def _fold(rules: Rules):
     return run
 
 
-def _split(records: DataFrame, rules: Rules, large: int) -> DataFrame:
+def _split(records: DataFrame, sizes: DataFrame, rules: Rules, large: int) -> DataFrame:
     """The records with ``part_``: 0, or in large blocks the number of their group of places that no match crosses.
 
     Two places exclude each other unless their keys are equal or their names alike; a merged record has one of its members' places. So groups of places
     linked by pairs that don't exclude each other can be folded apart. A block with a generic label, which matches any place, stays whole.
     """
-    size = records.groupBy("date", "contentType").agg(F.count("*").alias("n")).where(F.col("n") > large).select("date", "contentType")
-    size = cut(size)
+    size = sizes.where(F.col("n") > large).select("date", "contentType")
     if size.isEmpty():
         return records.withColumn("part_", F.lit(0).cast("bigint"))
     label = first_filled(F.col("location"), F.col("name"))
-    said = records.join(F.broadcast(size), ["date", "contentType"], "left_semi").groupBy("date", "contentType", "place_", "match_").agg(F.max(places.generic_label(label) | (F.col("place_") == "")).alias("any_"))
+    size = F.broadcast(size) if size.count() <= BROADCAST_BLOCKS else size
+    said = records.join(size, ["date", "contentType"], "left_semi").groupBy("date", "contentType", "place_", "match_").agg(F.max(places.generic_label(label) | (F.col("place_") == "")).alias("any_"))
     bridged = said.where("any_").select("date", "contentType").distinct()
     nodes = cut(said.join(bridged, ["date", "contentType"], "left_anti").select("date", "contentType", "place_", "match_", F.xxhash64("place_", "match_").alias("node")))
     x, y = (nodes.select("date", "contentType", *[F.col(c).alias(f"{c}{s}") for c in ("place_", "match_", "node")]) for s in "ab")
@@ -394,8 +396,11 @@ def folded(records: DataFrame, rules: Rules = RULES, large: int = LARGE) -> Data
     )
     alone = F.coalesce(F.col("date"), F.lit("")).isin("") | F.col("contentType").isNull()
     single = keyed.where(alone).select("rec", F.col("rec").alias("cluster"), F.lit(0.0).alias("score"), F.col("rank").cast("int"), F.col("seq").cast("bigint"), *EVENT)
-    blocks = _split(keyed.where(~alone), rules, large)
-    call = F.pmod(F.xxhash64("date", "contentType", "part_"), F.lit(CALLS)).alias("call_")
+    some = keyed.where(~alone)
+    sizes = cut(records.where(~alone).groupBy("date", "contentType").agg(F.count("*").alias("n")))  # one row a block
+    calls = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // PER_CALL))
+    blocks = _split(some, sizes, rules, large)
+    call = F.pmod(F.xxhash64("date", "contentType", "part_"), F.lit(calls)).alias("call_")
     found = blocks.withColumn("call_", call).groupBy("call_").applyInPandas(_fold(rules), f"rec string, cluster string, score double, rank int, seq bigint, {_SCHEMA}")
     return found.unionByName(single)
 
