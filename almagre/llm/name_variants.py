@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagre.llm.names import breeder, familiar_for, person, same_head, similar, usable
+from almagre.llm.names import any_person, breeder, familiar_for, same_head, similar, usable
 from almagre.llm.slips import Hashed, lost
 from almagre.session import cut
 
@@ -31,13 +31,13 @@ _NODE = "kind string, head string, heads string, rest string, short boolean"
 
 
 def parsed(spellings: DataFrame) -> DataFrame:
-    """``(spelling, n, kind, head, heads, rest, short)`` of the spellings that are a person's or a breeder's usable name."""
+    """``(spelling, n, kind, head, heads, rest, short)`` of the spellings that are a person's or a breeder's usable name, of any number of words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for s, n in zip(batch["spelling"], batch["n"], strict=True):
-                name = (breeder(s) or person(s)) if usable(s) else None
+                name = (breeder(s, None) or any_person(s)) if usable(s) else None
                 if name:
                     rows.append((s, n, name.kind, name.head, " ".join(name.heads), " ".join(name.rest), name.short))
             yield pd.DataFrame(rows, columns=["spelling", "n", "kind", "head", "heads", "rest", "short"])

@@ -170,3 +170,16 @@ def test_survivors_are_the_most_complete_then_latest(spark):
     got = {(r.group_id, r.row_id) for r in sv.survivors(df, "names", "at", ["row_id"]).collect()}
     assert got == {(1, 3), (2, 5), (4, 9)}
     assert sv.survivors(df.limit(0), "names", "at", ["row_id"]).count() == 0
+
+
+WHOLE = [
+    {"Juan de la Torre": 40, "JUAN DE LA TORRE": 4, "De la Torre, Juan": 2, "J. de la Torre": 3, "Juan de la Tore": 2}, {"El Juli": 30, "EL JULI": 3}, {"Morante de la Puebla": 50, "Morante de la Pueblaa": 2},
+    {"José Luis de los Reyes Pérez Gil": 20, "José Luis de los Reyes Perez Gil": 3}, {"Antoñete": 30, "Antonete": 3}, {"Ana Bo": 9, "ANA BO": 2},
+    {"Herederos de Uno Dos Tres Cuatro Cinco": 9, "Hros. de Uno Dos Tres Cuatro Cinco": 2}, {"El Fandi": 12},
+]
+
+
+def test_names_of_any_form_are_linked(spark):
+    """Link words, lone names, short surnames and names of many words are names too."""
+    df = spark.createDataFrame([(s, n) for g in WHOLE for s, n in g.items()] + [("Ana y Luis", 3), ("Este sábado", 9), ("Corrida de toros", 9)], "spelling string, n long")
+    assert {tuple(r) for r in nv.variant_pairs(df).collect()} == {tuple(sorted(p)) for g in WHOLE for p in itertools.combinations(g, 2)}
