@@ -183,3 +183,12 @@ def test_names_of_any_form_are_linked(spark):
     """Link words, lone names, short surnames and names of many words are names too."""
     df = spark.createDataFrame([(s, n) for g in WHOLE for s, n in g.items()] + [("Ana y Luis", 3), ("Este sábado", 9), ("Corrida de toros", 9)], "spelling string, n long")
     assert {tuple(r) for r in nv.variant_pairs(df).collect()} == {tuple(sorted(p)) for g in WHOLE for p in itertools.combinations(g, 2)}
+
+
+def test_people_of_any_form_are_usable():
+    from almagre.llm.queries import _people
+
+    for name in ("Juan de la Torre", "El Juli", "Antoñete", "Ana Bo", "José Luis de los Reyes Pérez Gil", "Ana Pérez"):
+        assert _people((name, "Luis Gil"))[1] == 2, name
+    for other in ("Este sábado", "Corrida de toros", "Herederos de Sabiteña", "Encierro", "Por confirmar", "", None):
+        assert _people((other, "Luis Gil"), frozenset(["encierro"])) is None, other
