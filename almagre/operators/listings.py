@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almagre.functions.dates import hhmm
-from almagre.functions.text import normalized
+from almagre.functions.text import normalized, once
 
 # The days of the week from Sunday, normalised.
 WEEKDAYS = ("domingo", "lunes", "martes", "miercoles", "jueves", "viernes", "sabado")
@@ -22,7 +22,7 @@ def day_headers(text: Column, most: int = 15, enough: int = 7) -> Column:
     found = F.arrays_zip(F.regexp_extract_all(plain, F.lit(pattern), F.lit(1)).alias("w"), F.regexp_extract_all(plain, F.lit(pattern), F.lit(2)).alias("d"))
     number = F.create_map(*[F.lit(x) for i, w in enumerate(WEEKDAYS) for x in (w, i)])
     heads = F.transform(found, lambda h: F.struct(number[h["w"]].alias("weekday"), h["d"].cast("int").alias("day")))
-    empty = F.filter(heads, lambda h: F.lit(False))
+    empty = F.array().cast("array<struct<weekday: int, day: int>>")
 
     def step(state: Column, h: Column) -> Column:
         kept, done = state["kept"], state["done"]
@@ -36,15 +36,18 @@ def day_headers(text: Column, most: int = 15, enough: int = 7) -> Column:
 
 def header_dates(headers: Column, as_of: Column, reach: int = 30) -> Column:
     """The dates of consecutive headers: the first start within ``reach`` days of ``as_of`` for which all weekdays and days fit; empty if none does."""
-    starts = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: F.date_add(as_of, i))
-    places = F.when(F.size(headers) > 0, F.sequence(F.lit(0), F.size(headers) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def fits(start: Column) -> Column:
-        at = lambda i: F.date_add(start, i)
-        return F.forall(places, lambda i: (F.dayofmonth(at(i)) == F.get(headers, i)["day"]) & (F.dayofweek(at(i)) - 1 == F.get(headers, i)["weekday"]))
-
-    first = F.get(F.filter(starts, fits), F.lit(0))
-    return F.when((F.size(headers) > 0) & first.isNotNull(), F.transform(places, lambda i: F.date_add(first, i))).otherwise(F.array().cast("array<date>"))
+    def found(s: Column) -> Column:
+        heads, day = s["heads"], s["day"]
+        starts = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: F.date_add(day, i))
+        at = lambda start, i: F.date_add(start, i)
+        fits = lambda start: F.forall(s["places"], lambda i: (F.dayofmonth(at(start, i)) == F.get(heads, i)["day"]) & (F.dayofweek(at(start, i)) - 1 == F.get(heads, i)["weekday"]))
+        dates = lambda first: F.when((F.size(heads) > 0) & first.isNotNull(), F.transform(s["places"], lambda i: F.date_add(first, i))).otherwise(F.array().cast("array<date>"))
+        return once(F.get(F.filter(starts, fits), F.lit(0)), dates)
+
+    # the headers are read once, not for every start and place
+    places = lambda h: F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+    return once(headers, lambda h: once(F.struct(h.alias("heads"), as_of.alias("day"), places(h).alias("places")), found))
 
 
 def column_centres(tokens: DataFrame, page: list[str], columns: int = 7) -> DataFrame:

@@ -121,3 +121,11 @@ def test_streams(spark, tmp_path):
         feeds.resynchronising(stream, "id", out, str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
         got = {tuple(r) for r in spark.read.parquet(f"{out}/actions/{n}").collect()}
         assert got == [{(1, "schedule"), (2, "schedule")}, {(1, "cancel"), (3, "schedule")}][n]
+
+
+def test_header_dates_read_the_headers_once(spark):
+    """The headers' expression isn't repeated for each start and place."""
+    heads = F.transform(F.array(F.lit(3)), lambda i: F.struct(F.lit(1).alias("weekday"), (i + F.expr("abs(day)")).alias("day")))
+    df = spark.createDataFrame([(0,)], "day int").select(listings.header_dates(heads, F.lit("2025-02-01").cast("date")).alias("dates"))
+    assert df._jdf.queryExecution().analyzed().toString().count("abs(") == 1
+    assert [str(d) for d in df.first().dates] == ["2025-02-03"]
