@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from almagre.functions import labels, places
 from almagre.functions.dates import closeness, minutes
@@ -193,9 +196,14 @@ def _edits(a: str, b: str) -> int:
     return last[-1]
 
 
+@lru_cache(maxsize=100_000)
+def _words(text: str) -> frozenset[str]:
+    return frozenset(w for w in text.split() if len(w) > 1)
+
+
 def _shared(a: str, b: str) -> float:
     """Common words of more than a letter over the larger set."""
-    x, y = ({w for w in t.split() if len(w) > 1} for t in (a, b))
+    x, y = _words(a), _words(b)
     return len(x & y) / max(len(x), len(y)) if x and y else 0.0
 
 
@@ -318,38 +326,194 @@ BROADCAST_BLOCKS = 100_000
 _KEYS = "place_ string, match_ string, channel_ string, minute_ int"
 
 
-def _fold(rules: Rules):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+#: Texts of a block whose similarities to all others are kept at a time; the others' are worked out again.
+KEPT_TEXTS = 2_000
+#: Pairs of texts that are compared in one step.
+PAIRS_AT_ONCE = 50_000
+_FOLDED = "rec string, cluster string, score double, rank int, seq bigint"
+
+
+class _Texts:
+    """The distinct texts of a block, numbered, and the ``_fuzzy`` of one to all the others."""
+
+    def __init__(self, texts: Iterable[str]) -> None:
+        self.texts = sorted(set(texts), key=len, reverse=True)
+        self.number = {t: i for i, t in enumerate(self.texts)}
+        self.rows: dict[int, np.ndarray] = {}
+        self.lengths = np.array([len(t) for t in self.texts])
+        self.letters = {c: i for i, c in enumerate(sorted({c for t in self.texts for c in t}))}
+        # the letters by place; at each place only the texts that reach it, which are the first ones
+        reach = [int((self.lengths > k).sum()) for k in range(self.lengths[0] if len(self.texts) else 0)]
+        self.places = [np.array([self.letters[t[k]] for t in self.texts[:n]]) for k, n in enumerate(reach)]
+        self.words = [{w for w in t.split() if len(w) > 1} for t in self.texts]
+        self.n_words = np.array([len(w) for w in self.words])
+        self.having: dict[str, list[int]] = {}
+        for i, ws in enumerate(self.words):
+            for w in ws:
+                self.having.setdefault(w, []).append(i)
+
+    def edits(self, first: int, last: int) -> np.ndarray:
+        """The edit distances of some of the texts to all, at once: a bit for each letter (a text of more than 64 is compared by itself)."""
+        own = self.lengths[first:last]
+        bits = (own > 0) & (own <= 64)
+        one, masks = np.uint64(1), np.zeros((last - first, len(self.letters)), dtype=np.uint64)
+        for k in np.flatnonzero(bits):
+            for b, c in enumerate(self.texts[first + k]):
+                masks[k, self.letters[c]] |= np.uint64(1 << b)
+        top = np.where(bits, one << np.maximum(own - 1, 0).astype(np.uint64) % np.uint64(64), np.uint64(0))[:, None]
+        out = np.repeat(own[:, None], len(self.texts), axis=1)
+        more, less = np.full(out.shape, ~np.uint64(0)), np.zeros(out.shape, dtype=np.uint64)
+        for letters in self.places:
+            n = len(letters)
+            more, less, equal = more[:, :n], less[:, :n], masks[:, letters]
+            down = equal | less
+            across = (((equal & more) + more) ^ more) | equal
+            up, fall = less | ~(across | more), more & across
+            out[:, :n] += (up & top) != 0
+            out[:, :n] -= (fall & top) != 0
+            up = (up << one) | one
+            more, less = (fall << one) | ~(down | up), up & down
+        for k in np.flatnonzero(own > 64):
+            out[k] = [_edits(self.texts[first + k], t) for t in self.texts]
+        return out
+
+    def to(self, i: int) -> np.ndarray:
+        if i not in self.rows:
+            # so many at a time that a step's arrays stay small; one by one where not all are kept
+            n = len(self.texts)
+            at_once = 1 if n > KEPT_TEXTS else max(1, PAIRS_AT_ONCE // n)
+            first = i // at_once * at_once
+            last = min(n, first + at_once)
+            edits = self.edits(first, last)
+            for k in range(first, last):
+                if len(self.rows) >= KEPT_TEXTS:
+                    self.rows.pop(next(iter(self.rows)))
+                self.rows[k] = self._alike(k, edits[k - first])
+        return self.rows[i]
+
+    def _alike(self, i: int, edits: np.ndarray) -> np.ndarray:
+        if not self.texts[i]:
+            return np.zeros(len(self.texts))
+        shared = np.zeros(len(self.texts))
+        for w in self.words[i]:
+            shared[self.having[w]] += 1
+        shared = shared / np.maximum(1, np.maximum(len(self.words[i]), self.n_words))
+        out = np.where(self.lengths > 0, np.maximum(shared, 1 - edits / np.maximum(self.lengths[i], self.lengths)), 0.0)
+        out[i] = 1.0
+        return out
+
+
+class _Kept:
+    """The events of a block so far as columns, and the score of the next record against all of them at once: that of ``_score``."""
+
+    _KINDS = {"place": np.int32, "match": np.int32, "herd": np.int32, "channel": np.int32, "time": np.int32, "minute": np.float64, "n_people": np.int32, "unsaid": bool, "generic": bool, "listing": bool, "detailed": bool}
+
+    def __init__(self, sides: list[_Side], event: bool, rules: Rules) -> None:
+        self.rules, self.event, self.n = rules, event, 0
+        self.matches, self.herds = _Texts(s.match for s in sides), _Texts(s.breeding for s in sides)
+        self.numbers: dict[str, dict] = {"place": {"": 0}, "channel": {}, "time": {"": 0}}
+        self.c = {k: np.zeros(len(sides), dtype=t) for k, t in self._KINDS.items()}
+        self.sides: list[_Side] = []
+        self.having: dict[str, set[int]] = {}
+
+    def _values(self, s: _Side) -> dict:
+        number = lambda k, v: self.numbers[k].setdefault(v, len(self.numbers[k]))
+        return {
+            "place": number("place", s.place), "match": self.matches.number[s.match], "herd": self.herds.number[s.breeding], "channel": number("channel", s.channel), "time": number("time", s.time),
+            "minute": np.nan if s.minute is None else s.minute, "n_people": len(s.people), "unsaid": _generic(s.label), "generic": s.generic, "listing": s.listing, "detailed": s.detailed,
+        }
+
+    def put(self, s: _Side, i: int | None = None) -> None:
+        """Adds an event, or replaces the one with the number."""
+        if i is None:
+            i, self.n = self.n, self.n + 1
+            self.sides.append(s)
+        else:
+            for p in self.sides[i].people - s.people:
+                self.having[p].discard(i)
+            self.sides[i] = s
+        for p in s.people:
+            self.having.setdefault(p, set()).add(i)
+        for k, v in self._values(s).items():
+            self.c[k][i] = v
+
+    def best(self, s: _Side) -> tuple[float, int]:
+        """The best score and the oldest event that has it; 0 and -1 if all are excluded."""
+        if not self.n:
+            return 0.0, -1
+        v, r = self._values(s), self.rules
+        all_ = {k: a[: self.n] for k, a in self.c.items()}
+        alike = self.matches.to(v["match"])[all_["match"]]
+        same_place = all_["place"] == v["place"]
+        if v["place"] and not v["unsaid"]:
+            at = np.flatnonzero(same_place | (alike >= r.other_place) | all_["unsaid"] | (all_["place"] == 0))
+        else:
+            at = np.arange(self.n)
+        if not len(at):
+            return 0.0, -1
+        o = {k: a[at] for k, a in all_.items()}
+        alike, place = alike[at], same_place[at] & (v["place"] != 0)
+        people = np.zeros(self.n)
+        for p in s.people:
+            if i := self.having.get(p):
+                people[np.fromiter(i, dtype=np.int64, count=len(i))] += 1
+        people = people[at] / np.maximum(1, np.minimum(v["n_people"], o["n_people"]))
+        breeding, channel = self.herds.to(v["herd"])[o["herd"]], o["channel"] == v["channel"]
+        near = np.zeros(len(at))
+        gap = np.abs(o["minute"] - v["minute"])
+        for most, value in reversed(r.time_steps):
+            near[gap <= most] = value
+        p = r.points
+        total = r.base + alike * p["location"] + place * p["place"] + channel * p["channel"] + near * p["time"] + people * p["people"] + breeding * p["breeding"]
+        score = np.floor(total * 100 + 0.5) / 100
+        if self.event:
+            same, close = (people >= r.same_people) | (breeding >= r.same_breeding), channel & (near >= r.close_time)
+            told = (o["generic"] & v["detailed"]) | (o["detailed"] & v["generic"])
+            for value, holds in (
+                (88.0, channel & ((o["time"] == 0) != (v["time"] == 0)) & (alike >= r.same_place)), (94.0, close & told & (same | (alike >= r.same_place))),
+                (97.0, close & (o["listing"] != v["listing"])), (96.0, channel & (v["time"] != 0) & (o["time"] == v["time"]) & (o["generic"] | v["generic"]) & same),
+                (94.0, place & (breeding >= r.same_breeding)), (98.0, place & (people >= r.same_people)),
+            ):
+                score[holds] = value
+        k = int(score.argmax())
+        return float(score[k]), int(at[k])
+
+
+def _fold(rules: Rules, columns: tuple[str, ...], schema: str):
+    own = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(table: pa.Table) -> pa.Table:
         # several blocks come in one call, for its fixed cost; each is folded on its own
-        return pd.concat([block(own) for _, own in pdf.groupby(["date", "contentType", "part_"], sort=False)], ignore_index=True)
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["rank", "seq", "rec"]).to_dict("records")
-        kept: list[tuple[dict, _Side, str]] = []
-        out = []
-        for row in rows:
-            e = {c: (None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v) for c, v in row.items()}
+        blocks: dict[tuple, list[dict]] = {}
+        for row in table.to_pylist():
+            blocks.setdefault((row["date"], row["contentType"], row["part_"]), []).append(row)
+        out = [row for rows in blocks.values() for row in block(rows)]
+        return pa.Table.from_arrays([pa.array(values, type=f.type) for f, values in zip(own, zip(*out, strict=True), strict=True)], schema=own)
+
+    def block(rows: list[dict]) -> list[tuple]:
+        rows.sort(key=lambda r: tuple((r[c] is None, r[c]) for c in ("rank", "seq", "rec")))
+        for e in rows:
             for c in ("participants", "sources", "sourceDetails"):
-                e[c] = list(e[c]) if e[c] is not None else []
-            e["minute_"] = None if e["minute_"] is None else int(e["minute_"])
-            side, best, at = _Side(e), 0.0, -1
-            if e["date"]:
-                for i, (_, other, _) in enumerate(kept):
-                    score = _score(other, side, e["contentType"] == "festejo", rules)
-                    if score > best:
-                        best, at = score, i
+                e[c] = e[c] or []
+        sides = [_Side(e) for e in rows]
+        kept: list[tuple[dict, str]] = []
+        columns_ = _Kept(sides, rows[0]["contentType"] == "festejo", rules)
+        out = []
+        for e, side in zip(rows, sides, strict=True):
+            best, at = columns_.best(side)
             if at >= 0 and best >= rules.least[e["contentType"]]:
                 one = _merged(kept[at][0], e, rules)
-                kept[at] = (one, _Side(one), kept[at][2])
-                out.append((e["rec"], kept[at][2], best))
+                kept[at] = (one, kept[at][1])
+                columns_.put(_Side(one), at)
+                out.append((e["rec"], kept[at][1], best))
             else:
-                kept.append((e, side, e["rec"]))
+                kept.append((e, e["rec"]))
+                columns_.put(side)
                 out.append((e["rec"], e["rec"], best))
-        heads = {rec: e for e, _, rec in kept}
-        events = [[heads[rec][c] if rec == cluster else None for c in EVENT] for rec, cluster, _ in out]
+        heads = {rec: e for e, rec in kept}
         firsts = {e["rec"]: (e["rank"], e["seq"]) for e in rows}
-        own = [(*o, *firsts[o[1]]) for o in out]
-        return pd.DataFrame([[*o, *e] for o, e in zip(own, events, strict=True)], columns=["rec", "cluster", "score", "rank", "seq", *EVENT])
+        none = (None,) * len(columns)
+        return [(*o, *firsts[o[1]], *(tuple(heads[o[0]][c] for c in columns) if o[0] == o[1] else none)) for o in out]
 
     return run
 
@@ -383,25 +547,27 @@ def _split(records: DataFrame, sizes: DataFrame, rules: Rules, large: int) -> Da
     return records.join(named, ["date", "contentType", "place_", "match_"], "left").withColumn("part_", F.coalesce("part_", F.lit(0).cast("bigint")))
 
 
-def folded(records: DataFrame, rules: Rules = RULES, large: int = LARGE) -> DataFrame:
+def folded(records: DataFrame, rules: Rules = RULES, large: int = LARGE, events: bool = True) -> DataFrame:
     """``(rec, cluster, score, rank, seq, ...)``: each record with the record its event began with, and its best score when it came.
 
     The rows where ``rec`` is ``cluster`` hold the merged event in the columns of ``EVENT``, on the others these are null; ``rank`` and ``seq`` are the first member's.
-    Records without a date or content type begin an event each. Ties in score go to the older event. Order: rank, seq, rec.
+    Records without a date or content type begin an event each. Ties in score go to the older event. Order: rank, seq, rec. Without ``events`` only the first five columns come.
     """
+    columns = tuple(EVENT) if events else ()
     label = first_filled(F.col("location"), F.col("name"))
     keyed = records.select(
         "rec", "rank", "seq", *EVENT, places.canonical_place(label).alias("place_"), places.match_place(label).alias("match_"),
         labels.channel_name(F.col("channel")).alias("channel_"), minutes(F.col("time")).cast("int").alias("minute_"),
     )
     alone = F.coalesce(F.col("date"), F.lit("")).isin("") | F.col("contentType").isNull()
-    single = keyed.where(alone).select("rec", F.col("rec").alias("cluster"), F.lit(0.0).alias("score"), F.col("rank").cast("int"), F.col("seq").cast("bigint"), *EVENT)
+    single = keyed.where(alone).select("rec", F.col("rec").alias("cluster"), F.lit(0.0).alias("score"), F.col("rank").cast("int"), F.col("seq").cast("bigint"), *columns)
     some = keyed.where(~alone)
     sizes = cut(records.where(~alone).groupBy("date", "contentType").agg(F.count("*").alias("n")))  # one row a block
     calls = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // PER_CALL))
     blocks = _split(some, sizes, rules, large)
     call = F.pmod(F.xxhash64("date", "contentType", "part_"), F.lit(calls)).alias("call_")
-    found = blocks.withColumn("call_", call).groupBy("call_").applyInPandas(_fold(rules), f"rec string, cluster string, score double, rank int, seq bigint, {_SCHEMA}")
+    schema = ", ".join([_FOLDED, *[f"{c} {EVENT[c]}" for c in columns]])
+    found = blocks.withColumn("call_", call).groupBy("call_").applyInArrow(_fold(rules, columns, schema), schema)
     return found.unionByName(single)
 
 

@@ -113,14 +113,14 @@ def e02_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a_rec", "b_rec", merge.match_score("a_", "b_").alias("score")).where("score > 0")
 
 
-def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.folded(_all(spark, sf_dir))
+def _fold(spark: SparkSession, sf_dir: str, events: bool = True) -> DataFrame:
+    return merge.folded(_all(spark, sf_dir), events=events)
 
 
 @query()
 def e03_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event each record of five feeds comes to, with its score when it came."""
-    return _fold(spark, sf_dir).select("rec", "cluster", F.round("score", 2).alias("score"))
+    return _fold(spark, sf_dir, events=False).select("rec", "cluster", F.round("score", 2).alias("score"))
 
 
 @query()
@@ -133,7 +133,7 @@ def e04_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a05_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many records of each feed began an event or joined one."""
     sources = _all(spark, sf_dir).select("rec", C("sources")[0].alias("source"))
-    return merge.fold_statistics(_fold(spark, sf_dir), sources)
+    return merge.fold_statistics(_fold(spark, sf_dir, events=False), sources)
 
 
 @query(f"select rec, date, status from (select *, case when confidence >= 94 then 'confirmed' else 'probable' end as status from ({_LV})) where regexp_matches(date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') and date < '2022-06-01'")

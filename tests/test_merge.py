@@ -152,3 +152,29 @@ def test_shown_events(spark):
     e = got["r0"]
     assert (e.channel, e.televised, e.time, e.location, e.breeding, e.participants, e.sources) == ("Tele Dehesa", True, "18:00", "Plaza de toros, Madralba (Sotomar)", "Sotolavera", ["ANA PEREZ"], ["A", "B"])
     assert display.deduplicated(_records(spark, rows).limit(0)).count() == 0
+
+
+def test_all_scores_at_once_are_those_of_each_pair():
+    """The best of a block's events found by columns is the one found pair by pair; merged events replace theirs."""
+    rnd = random.Random(1)
+    places_ = ["Madralba", "Jaralosa", "Televisión", "", "Toros 2026", "Navalinda del Campo", "Navalinda de la Sierra", "Jaralosas", "x" * 70, "x" * 64, None]
+
+    def side():
+        place = rnd.choice(places_)
+        return merge._Side({
+            "location": place, "name": rnd.choice(["", "Feria", "Toros"]), "title": rnd.choice([None, "Gran"]), "channel_": rnd.choice("ab"), "place_": merge._plain(place), "match_": merge._plain(place) + rnd.choice(["", "s"]),
+            "minute_": rnd.choice([None, 600, 620, 700]), "participants": rnd.sample(["Ana", "Luis", "Eva", "Pablo"], rnd.randint(0, 3)), "breeding": rnd.choice(["", "Sotolavera", "Sotolabera", None]), "time": rnd.choice(["", "10:00", "10:20", None]),
+        })
+
+    for event in (True, False):
+        sides = [side() for _ in range(200)]
+        columns, kept = merge._Kept(sides, event, merge.RULES), []
+        for s in sides:
+            best, at = max(((merge._score(k, s, event, merge.RULES), -i) for i, k in enumerate(kept)), default=(0.0, 1))
+            assert columns.best(s) == (best, -at if best else -1)
+            if best and rnd.random() < 0.3:
+                kept[-at] = s
+                columns.put(s, -at)
+            else:
+                kept.append(s)
+                columns.put(s)
