@@ -144,23 +144,40 @@ def excluded(records: DataFrame, *conditions: Column) -> DataFrame:
 # -- scores -------------------------------------------------------------------------------------------------
 
 
-def match_score(a: str, b: str, rules: Rules = RULES) -> Column:
-    """The score of two records in columns with the prefixes a and b; the first decisive agreement counts, else points per field."""
+def score_keys(df: DataFrame) -> DataFrame:
+    """The records with what a score needs of each, worked out once a record and not once a pair; for ``match_score`` with ``keyed``."""
+    c = F.col
+    label = first_filled(c("location"), c("name"))
+    names = F.array_distinct(F.filter(F.transform(F.coalesce(c("participants"), F.array().cast("array<string>")), normalized), lambda n: n != ""))
+    return df.select(
+        "rec", "date", "time", "contentType", places.canonical_place(label).alias("key_"), places.match_place(label).alias("match_"), places.generic_label(label).alias("unsaid_"),
+        labels.channel_name(c("channel")).alias("station_"), minutes(c("time")).alias("minute_"), normalized(F.coalesce(c("breeding"), F.lit(""))).alias("herd_"), names.alias("people_"),
+        (places.generic_label(c("location")) | places.generic_label(c("name")) | places.generic_label(c("title"))).alias("generic_"), places.generic_listing([c("location"), c("name"), c("title")]).alias("listing_"),
+        (~places.generic_label(c("location")) | (F.coalesce(F.size("participants"), F.lit(0)) > 0) | labels.filled(c("breeding"))).alias("detailed_"),
+    )
+
+
+def match_score(a: str, b: str, rules: Rules = RULES, keyed: bool = False) -> Column:
+    """The score of two records in columns with the prefixes a and b; the first decisive agreement counts, else points per field. ``keyed``: both have ``score_keys``."""
     x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
     label = lambda s: first_filled(s("location"), s("name"))
     text = lambda s: normalized(F.coalesce(s("breeding"), F.lit("")))
     names = lambda s: F.array_distinct(F.filter(F.transform(F.coalesce(s("participants"), F.array().cast("array<string>")), normalized), lambda n: n != ""))
-    channel = labels.channel_name(x("channel")) == labels.channel_name(y("channel"))
-    alike, key_a, key_b = places.place_similarity(label(x), label(y)), places.canonical_place(label(x)), places.canonical_place(label(y))
-    place = (key_a == key_b) & (key_a != "")
-    conflict = (key_a != "") & (key_b != "") & ~places.generic_label(label(x)) & ~places.generic_label(label(y)) & (key_a != key_b) & (alike < rules.other_place)
-    people, breeding = share_of_smaller(names(x), names(y)), fuzzy(text(x), text(y))
     timed = lambda s: labels.filled(s("time"))
-    near = closeness(minutes(x("time")), minutes(y("time")), list(rules.time_steps))
-    exact, one_missing = timed(x) & (x("time") == y("time")), timed(x) != timed(y)
     generic = lambda s: places.generic_label(s("location")) | places.generic_label(s("name")) | places.generic_label(s("title"))
     listing = lambda s: places.generic_listing([s("location"), s("name"), s("title")])
     detailed = lambda s: ~places.generic_label(s("location")) | (F.coalesce(F.size(s("participants")), F.lit(0)) > 0) | labels.filled(s("breeding"))
+    station, key, match = (lambda s: labels.channel_name(s("channel"))), (lambda s: places.canonical_place(label(s))), (lambda s: places.match_place(label(s)))
+    unsaid, minute = (lambda s: places.generic_label(label(s))), (lambda s: minutes(s("time")))
+    if keyed:
+        generic, listing, detailed, station, key, match, unsaid, minute, text, names = ((lambda s, c=c: s(c)) for c in ("generic_", "listing_", "detailed_", "station_", "key_", "match_", "unsaid_", "minute_", "herd_", "people_"))
+    channel = station(x) == station(y)
+    alike, key_a, key_b = fuzzy(match(x), match(y)), key(x), key(y)
+    place = (key_a == key_b) & (key_a != "")
+    conflict = (key_a != "") & (key_b != "") & ~unsaid(x) & ~unsaid(y) & (key_a != key_b) & (alike < rules.other_place)
+    people, breeding = share_of_smaller(names(x), names(y)), fuzzy(text(x), text(y))
+    near = closeness(minute(x), minute(y), list(rules.time_steps))
+    exact, one_missing = timed(x) & (x("time") == y("time")), timed(x) != timed(y)
     same = (people >= rules.same_people) | (breeding >= rules.same_breeding)
     close = near >= rules.close_time
     event = x("contentType") == "festejo"

@@ -108,9 +108,9 @@ _PAIR_COLS = ("rec", "date", "ct", "ch", "place", "m", "gl", "t", "mins", "gen",
 def e02_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of all pairs of two feeds' records of a date and content type that don't exclude each other."""
     a, b = (_records(spark, sf_dir, feed, source, 0) for feed, source in (("lasventas", "Las Ventas oficial"), ("elmuletazo", "El Muletazo")))
-    left, right = (df.select(*[C(c).alias(f"{s}{c}") for c in df.columns]) for df, s in ((a, "a_"), (b, "b_")))
+    left, right = (df.select(*[C(c).alias(f"{s}{c}") for c in df.columns]) for df, s in ((merge.score_keys(a), "a_"), (merge.score_keys(b), "b_")))
     pairs = left.join(right, (C("a_date") == C("b_date")) & (C("a_contentType") == C("b_contentType")))
-    return pairs.select("a_rec", "b_rec", merge.match_score("a_", "b_").alias("score")).where("score > 0")
+    return pairs.select("a_rec", "b_rec", merge.match_score("a_", "b_", keyed=True).alias("score")).where("score > 0")
 
 
 def _fold(spark: SparkSession, sf_dir: str, events: bool = True) -> DataFrame:

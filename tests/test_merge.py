@@ -178,3 +178,9 @@ def test_all_scores_at_once_are_those_of_each_pair():
             else:
                 kept.append(s)
                 columns.put(s)
+
+
+def test_scores_with_keys_are_those_without(spark):
+    records = _records(spark, [r for _, a, b in RUNGS for r in (a, b)])
+    x, y = (merge.score_keys(records).select(*[F.col(c).alias(f"{s}{c}") for c in merge.score_keys(records).columns]) for s in ("a_", "b_"))
+    assert {(r[0], r[1]): r[2] for r in x.crossJoin(y).select("a_rec", "b_rec", merge.match_score("a_", "b_", keyed=True)).collect()} == _scores(records)
