@@ -38,15 +38,18 @@ class Scoring:
 TIME_STEPS = [(0, 1.0), (30, 0.8), (60, 0.5), (90, 0.25)]
 
 
-def pair_score(a: str, b: str, s: Scoring = Scoring()) -> Column:
-    """The score of two records in columns with the prefixes a and b: decisive agreements first, else points per field."""
+def pair_score(a: str, b: str, s: Scoring = Scoring(), keyed: bool = False) -> Column:
+    """The score of two records in columns with the prefixes a and b: decisive agreements first, else points per field. ``keyed``: both have ``herd_, town_, minute_``."""
     x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
     text = lambda col: normalized(F.coalesce(col, F.lit("")))
     people = share_of_smaller(F.coalesce(x("participants"), F.array().cast("array<string>")), F.coalesce(y("participants"), F.array().cast("array<string>")))
-    breeding, place = fuzzy(text(x("breeding")), text(y("breeding"))), fuzzy(text(x("place")), text(y("place")))
+    herd, town, minute = (lambda c: text(c("breeding"))), (lambda c: text(c("place"))), (lambda c: minutes(c("time")))
+    if keyed:
+        herd, town, minute = ((lambda c, k=k: c(k)) for k in ("herd_", "town_", "minute_"))
+    breeding, place = fuzzy(herd(x), herd(y)), fuzzy(town(x), town(y))
     same_place = F.coalesce((x("place") == y("place")) & (x("place") != ""), F.lit(False))
     same_channel = F.coalesce((x("channel") == y("channel")) & (x("channel") != ""), F.lit(False))
-    near = closeness(minutes(x("time")), minutes(y("time")), TIME_STEPS)
+    near = closeness(minute(x), minute(y), TIME_STEPS)
     points = s.base + s.place * place + s.time * near + s.people * people + s.breeding * breeding
     points = points + F.when(same_place, s.same_place).otherwise(0.0) + F.when(same_channel, s.channel).otherwise(0.0)
     return (
@@ -67,8 +70,11 @@ def best_matches(left: DataFrame, right: DataFrame, s: Scoring = Scoring()) -> D
     keyed = left.select("rec", named.alias("h_"), *said)
     a = keyed.groupBy("h_").agg(*[F.first(c).alias(f"a_{c}") for c in said])
     b = right.groupBy(named.alias("b_h")).agg(F.min_by("rec", "seq").alias("b_rec"), F.min("seq").alias("b_seq"), *[F.first(c).alias(f"b_{c}") for c in said])
+    # worked out once a record, not once a pair
+    text = lambda c: normalized(F.coalesce(F.col(c), F.lit("")))
+    a, b = (df.withColumns({f"{p}herd_": text(f"{p}breeding"), f"{p}town_": text(f"{p}place"), f"{p}minute_": minutes(F.col(f"{p}time"))}) for df, p in ((a, "a_"), (b, "b_")))
     pairs = a.join(b, (F.col("a_date") == F.col("b_date")) & (F.col("a_kind") == F.col("b_kind")))
-    pairs = pairs.select("h_", "b_rec", "b_seq", pair_score("a_", "b_", s).alias("score")).where(F.col("score") >= s.least)
+    pairs = pairs.select("h_", "b_rec", "b_seq", pair_score("a_", "b_", s, keyed=True).alias("score")).where(F.col("score") >= s.least)
     best = F.max_by(F.struct("b_rec", "score"), F.struct("score", -F.col("b_seq"))).alias("r")
     found = pairs.groupBy("h_").agg(best)
     return (
